@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op1_langid
+from .quality import op10_quality
 from .simhash import op5_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_simhash": op5_simhash}
+    return {"op1_langid": op1_langid, "op5_simhash": op5_simhash, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
