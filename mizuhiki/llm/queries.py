@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op1_langid
+from .mixing import OP6_SQL, op6_mixing
 from .quality import op10_quality
 from .simhash import op5_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op5_simhash": op5_simhash, "op10_quality": op10_quality}
+    return {"op1_langid": op1_langid, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": OP6_SQL}
