@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op7_bpe
 from .langid import op1_langid
 from .mixing import OP6_SQL, op6_mixing
 from .quality import op10_quality
@@ -13,7 +14,7 @@ from .simhash import op5_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing, "op10_quality": op10_quality}
+    return {"op1_langid": op1_langid, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing, "op7_bpe": op7_bpe, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
