@@ -28,42 +28,57 @@ SKETCH_K = 1024
 MAX_BROADCAST = 100_000
 
 
-def _window(w: Column, i: Column) -> Column:
-    return F.xxhash64(w[i - 1], w[i], w[i + 1])
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once, wherever the optimizer moves or copies the expression to."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and base_failed.
+def _repeated(w: Column) -> Column:
+    """How many of the words lie in windows of three that occur twice or more.
 
-    Repeated windows of three words: where all digests of a text differ, none repeats. Else windows are known by two
-    digests and sorted with their places, so equal ones are neighbours: n log n in the length of a text, and no
-    shuffle. Each step is a column of its own, as a lambda would compute what it holds anew for every element.
+    Where all digests differ, no window is repeated. Else windows are known by two digests and sorted with their
+    places, so equal ones are neighbours: n log n in the length of a text, and no shuffle.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    w, s, same = F.col("_w"), F.col("_s"), F.col("_same")
     at = F.sequence(F.lit(1), F.size(w) - 2)
-    out = docs.withColumn("_w", F.array_remove(F.split(F.translate(text, BLANK, " " * len(BLANK)), " "), ""))
-    out = out.withColumn("_l", F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, BLANK, "") != ""))
-    out = out.withColumn("_h", F.when(F.size(w) > 3, F.transform(at, lambda i: _window(w, i))))
-    out = out.withColumn("_d", F.size(F.array_distinct("_h")) < F.size("_h"))
-    sorted_windows = F.sort_array(F.transform(at, lambda i: F.struct(F.col("_h")[i - 1].alias("h"), F.hash(w[i + 1], w[i - 1], w[i]).alias("g"), i.alias("i"))))
-    out = out.withColumn("_s", F.when(F.col("_d"), sorted_windows))
-    # _same[k]: whether windows k and k + 1 of the sorted ones are equal
-    out = out.withColumn("_same", F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), lambda a, b: (a["h"] == b["h"]) & (a["g"] == b["g"])))
-    hit = F.filter(s, lambda x, k: ((k > 0) & F.coalesce(F.get(same, k - 1), F.lit(False))) | F.coalesce(F.get(same, k), F.lit(False)))
-    inside = F.size(F.array_distinct(F.flatten(F.transform(hit, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+
+    def places(h: Column) -> Column:
+        windows = F.transform(at, lambda i: F.struct(h[i - 1].alias("h"), F.hash(w[i + 1], w[i - 1], w[i]).alias("g"), i.alias("i")))
+        return _let(F.sort_array(windows), neighbours)
+
+    def neighbours(s: Column) -> Column:
+        # same[k]: whether windows k and k + 1 of the sorted ones are equal
+        same = F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), lambda a, b: (a["h"] == b["h"]) & (a["g"] == b["g"]))
+        return _let(same, lambda t: inside(s, t))
+
+    def inside(s: Column, same: Column) -> Column:
+        hit = F.filter(s, lambda x, k: ((k > 0) & F.coalesce(F.get(same, k - 1), F.lit(False))) | F.coalesce(F.get(same, k), F.lit(False)))
+        return F.size(F.array_distinct(F.flatten(F.transform(hit, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+
+    digests = F.transform(at, lambda i: F.xxhash64(w[i - 1], w[i], w[i + 1]))
+    count = _let(digests, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), places(h)).otherwise(0))
+    return F.when(F.size(w) > 3, count).otherwise(0)
+
+
+def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words and base_failed."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    words = F.array_remove(F.split(F.translate(text, BLANK, " " * len(BLANK)), " "), "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, BLANK, "") != "")
+    of_words = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated(w).cast("long").alias("repeated")))
+    of_lines = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
+    out = docs.withColumn("_words", of_words).withColumn("_lines", of_lines)
     out = out.withColumns(
         {
-            "n_words": F.size(w).cast("long"),
+            "n_words": F.col("_words.n"),
             "word_chars": F.length(F.translate(text, BLANK, "")).cast("long"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "n_lines": F.size("_l").cast("long"),
-            "n_repeat_words": F.when(F.col("_d"), inside).otherwise(0).cast("long"),
+            "n_dup_lines": F.col("_lines.dup"),
+            "n_lines": F.col("_lines.n"),
+            "n_repeat_words": F.col("_words.repeated"),
         }
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEATED) * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_w", "_l", "_h", "_d", "_s", "_same")
+    return out.withColumn("base_failed", failed).drop("_words", "_lines")
 
 
 def _ratios(measured: DataFrame) -> DataFrame:
@@ -78,8 +93,9 @@ def fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     merged from them. The result is written to the scratch folder: one row for each group.
     """
     keys = [F.col(lang_col).alias("lang"), F.col(source_col).alias("source")]
-    rows = _ratios(measured.filter("not base_failed")).select(*keys, *RATIOS)
-    own = materialize(rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(r, SKETCH_K).alias(r) for r in RATIOS)), "sketches")
+    # not a filter: the optimizer would move it below, into a second computation of all that it tests
+    rows = _ratios(measured).select(*keys, *(F.when(F.col("base_failed"), None).otherwise(F.col(r)).alias(r) for r in RATIOS))
+    own = materialize(rows.groupBy("lang", "source").agg(F.count(RATIOS[0]).alias("n"), *(F.kll_sketch_agg_double(r, SKETCH_K).alias(r) for r in RATIOS)), "sketches")
     merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(r, SKETCH_K).alias(r) for r in RATIOS)]
 
     def fence(sketches: DataFrame, prefix: str) -> DataFrame:
@@ -89,7 +105,7 @@ def fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "sourc
         return out.select(*(c for c in ("lang", "source") if c in sketches.columns), F.struct("n", *upper).alias(prefix))
 
     by_lang, overall = fence(own.groupBy("lang").agg(*merged), "l"), fence(own.agg(*merged).filter("n is not null"), "o")
-    every = measured.select(*keys).distinct()
+    every = own.select("lang", "source")
     same = lambda a, b, *cols: F.expr(" and ".join(f"{a}.{c} <=> {b}.{c}" for c in cols))
     joined = every.alias("e").join(fence(own, "g").alias("g"), same("e", "g", "lang", "source"), "left").select("e.*", "g")
     joined = joined.alias("e").join(by_lang.alias("b"), same("e", "b", "lang"), "left").select("e.*", "l").join(F.broadcast(overall), F.lit(True), "left")
@@ -107,7 +123,8 @@ def judge(measured: DataFrame, limits: DataFrame, lang_col: str = "lang", source
     over = F.lit(False)
     for r in RATIOS:
         over = over | (F.col(r) > F.coalesce(F.col(f"{r}_fence"), F.lit(FLOORS[r])))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~over).drop("_lang", "_source", *RATIOS, *(f"{r}_fence" for r in RATIOS))
+    # one CASE for both: a filter by it stays above the join
+    return joined.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~over)).drop("_lang", "_source", *RATIOS, *(f"{r}_fence" for r in RATIOS))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,12 @@ from .quality import op10_quality
 from .simhash import op5_simhash
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing, "op7_bpe": op7_bpe, "op10_quality": op10_quality}
+    return {"op1_langid": op1_langid, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing, "op7_bpe": op7_bpe, "op10_quality": op10_quality, "pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

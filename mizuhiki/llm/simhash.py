@@ -147,6 +147,121 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     return marked.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
+#: Bands of the signature for the similarity mode: two texts with a Jaccard similarity of 0.8 share one of them with
+#: probability 1 - (1 - 0.8 ** 6) ** 24 = 0.9993.
+BANDS, ROWS = 24, 6
+_FACTORS = np.array([xxhash.xxh64_intdigest(b"factor", i) | 1 for i in range(BANDS * ROWS)], np.uint64)[:, None]
+_OFFSETS = np.array([xxhash.xxh64_intdigest(b"offset", i) for i in range(BANDS * ROWS)], np.uint64)[:, None]
+
+
+def _bands(hashes: np.ndarray) -> list[int]:
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 2048):
+        low = np.minimum(low, (hashes[None, i : i + 2048] * _FACTORS + _OFFSETS).min(axis=1))
+    octets = low.astype("<u8").tobytes()
+    size = 8 * ROWS
+    return [xxhash.xxh64_intdigest(octets[i * size : (i + 1) * size], i) - (1 << 63) for i in range(BANDS)]
+
+
+def _digest(text: bytes | None) -> str:
+    return xxhash.xxh128_hexdigest(b" ".join(text.lower().split()) if text else b"")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, digest, component, keeper): for each distinct id and word sequence, its group and whether it's the one that stays.
+
+    Texts link if the Jaccard similarity of their shingle sets is at least `similarity`; components of links are the
+    groups. Texts with equal word sequences, such as those without a word, are one text. A 64-bit SimHash can't find
+    these links (the README has figures), so candidates come from bands of min-hashes of the same shingles and are
+    verified with the whole sets. In each band, all texts are held against the least one; those that aren't similar to
+    it are dealt with again among themselves until none is left: as many edges as rows, and no link cut off by a cap.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.as_py() for t in b.column(1)]
+            sets = [np.unique(shingle_hashes(t, words)) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_digest(t) for t in texts]), pa.array([_bands(h) if len(h) else [] for h in sets], pa.list_(pa.int64()))], names=["id", "digest", "bands"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, wanted = [t.as_py() for t in b.column(0)], b.column(1).to_pylist()
+            own = [(d, np.unique(shingle_hashes(t, words)).astype("<u8").tobytes()) for t, d in zip(texts, wanted) if _digest(t) == d]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.string()), pa.array([x[1] for x in own], pa.binary())], names=["digest", "hashes"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            alike = []
+            for x, y in zip(b.column(2), b.column(3)):
+                one, two = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                both = len(np.intersect1d(one, two, assume_unique=True)) if min(len(one), len(two)) >= similarity * max(len(one), len(two)) else 0
+                alike.append(both >= similarity * (len(one) + len(two) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(alike, pa.bool_())], names=["center", "digest", "alike"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    signed = materialize(rows.mapInArrow(sign, f"id {kind}, digest string, bands array<long>"), "signed")
+    # binary order of digests is as random as any: the least of a band is its center
+    left = signed.select("digest", F.posexplode("bands").alias("band", "key")).distinct()
+    sizes = left.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    left = materialize(left.join(sizes, ["band", "key"]), "bands")
+    firsts = signed.groupBy("digest").agg(F.min("id").alias("id"))
+    wanted = left.select("digest").distinct().join(firsts, "digest")
+    sets = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"])).select("text", "digest").mapInArrow(gather, "digest string, hashes binary")
+    sets = materialize(sets.dropDuplicates(["digest"]), "sets")
+    links = None
+    seen = None  # pairs that were judged before
+    while not left.isEmpty():
+        centers = left.groupBy("band", "key").agg(F.min("digest").alias("center"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        rest = left.join(centers, ["band", "key"]).filter("digest <> center")
+        pairs = rest.select("center", "digest").distinct()
+        if seen is not None:
+            pairs = pairs.join(seen.select("center", "digest"), ["center", "digest"], "left_anti")
+        full = pairs.join(sets.withColumnRenamed("hashes", "x").withColumnRenamed("digest", "center"), "center").join(sets.withColumnRenamed("hashes", "y"), "digest")
+        judged = materialize(full.select("center", "digest", "x", "y").mapInArrow(verify, "center string, digest string, alike boolean"), "judged")
+        seen = judged if seen is None else seen.unionByName(judged)
+        found = judged.filter("alike").select("center", "digest")
+        links = found if links is None else links.unionByName(found)
+        left = materialize(rest.join(seen.filter("not alike").select("center", "digest"), ["center", "digest"], "left_semi").select("digest", "band", "key"), "bands")
+    ids = signed.groupBy("id", "digest").agg(F.count("*").alias("copies"))
+    if links is not None:
+        parts = connected_components(links, "center", "digest").withColumnRenamed("id", "digest")
+        ids = ids.join(parts, "digest", "left")
+    else:
+        ids = ids.withColumn("component", F.lit(None).cast("string"))
+    ids = materialize(ids.select("id", "digest", "copies", F.coalesce("component", "digest").alias("component")), "groups")
+    stays = ids.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("first"))
+    joined = ids.join(stays, "component")
+    return joined.select("id", "digest", "copies", "component", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))).alias("keeper"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of `near_duplicate_groups`: that of the least id (nulls first), then digest."""
+    keepers = materialize(near_duplicate_groups(docs, id_col, text_col, words, similarity).filter("keeper").select(F.col("id").alias("_id"), "digest", "copies"), "keepers")
+    by_id = keepers.groupBy("_id").agg(F.collect_list("digest").alias("_digests"), F.max("copies").alias("_copies"))
+    packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
+    joined = packed.join(by_id, packed["_key"].eqNullSafe(by_id["_id"]))
+    # An id that is not unique needs its texts told apart; those rows are few, or equal.
+    texts = packed.groupBy(F.col("_key").alias("_id")).agg(F.count("*").alias("_n")).filter("_n > 1")
+    many = materialize(texts, "repeated")
+    if many.isEmpty():
+        return joined.select("_row.*")
+    marked = joined.join(many.select(F.col("_id").alias("_m"), F.lit(True).alias("_many")), joined["_key"].eqNullSafe(F.col("_m")), "left")
+    names = F.col("_row").alias("_row")
+    one = marked.filter("_many is null").select(names)
+    several = marked.filter("_many").select(names, "_key", "_digests", F.col("_text").cast("binary").alias("_t"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests = [_digest(t.as_py()) for t in b.column(3)]
+            keep = pa.array([d in set(w.as_py()) for d, w in zip(digests, b.column(2))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests)], names=["_row", "_key", "_digest"]).filter(keep)
+
+    fields = several.select("_row", "_key").schema.add("_digest", "string")
+    again = several.mapInArrow(pick, fields).groupBy("_key", "_digest").agg(F.first("_row").alias("_row"))
+    return one.unionByName(again.select("_row")).select("_row.*")
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicate_classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
