@@ -99,7 +99,7 @@ def fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(r, SKETCH_K).alias(r) for r in RATIOS)]
 
     def fence(sketches: DataFrame, prefix: str) -> DataFrame:
-        quartiles = {r: F.kll_sketch_get_quantile_double(r, F.array(F.lit(0.25), F.lit(0.75))) for r in RATIOS}
+        quartiles = {r: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(r, F.array(F.lit(0.25), F.lit(0.75)))) for r in RATIOS}
         out = sketches.withColumns({f"_{r}": q for r, q in quartiles.items()})
         upper = (F.greatest(F.lit(FLOORS[r]), F.col(f"_{r}")[1] + SPREADS * (F.col(f"_{r}")[1] - F.col(f"_{r}")[0])).alias(r) for r in RATIOS)
         return out.select(*(c for c in ("lang", "source") if c in sketches.columns), F.struct("n", *upper).alias(prefix))

@@ -11,6 +11,7 @@ from .bpe import op7_bpe
 from .langid import op1_langid
 from .mixing import OP6_SQL, op6_mixing
 from .quality import op10_quality
+from .sharding import op3_kdtree
 from .simhash import op5_simhash
 
 
@@ -19,7 +20,7 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_langid": op1_langid, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing, "op7_bpe": op7_bpe, "op10_quality": op10_quality, "pipeline": _pipeline}
+    return {"op1_langid": op1_langid, "op3_kdtree": op3_kdtree, "op5_simhash": op5_simhash, "op6_mixing": op6_mixing, "op7_bpe": op7_bpe, "op10_quality": op10_quality, "pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
