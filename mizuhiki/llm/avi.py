@@ -185,5 +185,5 @@ def op8_avi(spark, sf_dir: str) -> DataFrame:
     marked = media.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
     back = decode_media(marked)
     size = F.octet_length("payload")
-    feature = F.concat_ws(";", F.transform("clips", lambda c: F.concat_ws(":", c["start_ms"].cast("string"), c["end_ms"].cast("string"), F.format_number(c["mean"], "0.0000"))))
+    feature = F.concat_ws(";", F.transform("clips", lambda c: F.concat_ws(":", c["start_ms"].cast("string"), c["end_ms"].cast("string"), F.format_string("%.4f", c["mean"]))))
     return back.select("doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -WIDTH, WIDTH)).cast("long").alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))
