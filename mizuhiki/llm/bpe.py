@@ -21,14 +21,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import pre_tokenizers
 
+from .batches import pieces
+
 #: Fixed value, how byte-level BPE parts a text before merging:
 #: 's|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+
 #: Here for texts below U+0250, where these classes are the same in every version of Unicode.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼-¾", " \\t-\\r\x85\xa0"
 _LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _BEYOND = re.compile("[^\x00-\u024f]")
-#: Bounds of what a worker keeps: pre-tokens of at most so many bytes, and so many of them.
-_CACHED_BYTES, _CACHED = 64, 1_000_000
+#: Bounds of what a worker keeps: pre-tokens of at most so many bytes, twice so many of them, and so many pairs.
+_CACHED_BYTES, _CACHED, _PAIRS = 64, 200_000, 250_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -49,7 +51,6 @@ class Encoder:
         letters = _byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         ids = {raw(s): i for s, i in model["vocab"].items()}
-        self.bytes_of = {i: b for b, i in ids.items()}
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}  # two ids: rank of their merge, and its id
         #: Of a merged id: rank of its merge, and its halves. Ids of single bytes have none.
         self.born: dict[int, tuple[int, int, int]] = {}
@@ -60,7 +61,6 @@ class Encoder:
             self.born.setdefault(ids[a + b], (rank, *pair))
         self.beside: dict[tuple[int, int], bool] = {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.unicode_parts = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
         self.automaton = ahocorasick.Automaton()
@@ -68,8 +68,6 @@ class Encoder:
             if len(b) == 1 or self._stands(i):
                 self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
         self.automaton.make_automaton()
-        table = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
-        self.decode_table = table.__getitem__
         self.cache = _Cache(self)
 
     def _stands(self, token: int) -> bool:
@@ -111,6 +109,8 @@ class Encoder:
                 pair = before[0], token
                 fits = beside.get(pair)
                 if fits is None:
+                    if len(beside) >= _PAIRS:
+                        beside.clear()
                     fits = beside[pair] = self._compatible(*pair, 1 << 60)
                 if not fits:
                     continue
@@ -140,37 +140,51 @@ class Encoder:
             out.append(self.special[piece].to_bytes(4, "little") if i % 2 else b"".join(map(known, self.parts(piece))))
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.decode_table, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
-
 
 class _Cache(dict):
-    """Pre-token to the bytes of its ids; emptied when it's full."""
+    """Pre-token to the bytes of its ids: those met lately, and for a while those met before."""
 
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        data = part.encode()
-        ids = np.array(self.encoder.encode_part(data), "<u4").tobytes()
-        if len(data) <= _CACHED_BYTES:
-            if len(self) >= _CACHED:
-                self.clear()
-                self.encoder.beside.clear()
-            self[part] = ids
+        ids = self.before.get(part)
+        if ids is None:
+            data = part.encode()
+            ids = np.array(self.encoder.encode_part(data), "<u4").tobytes()
+            if len(data) > _CACHED_BYTES:
+                return ids
+        if len(self) >= _CACHED:
+            self.before = dict(self)
+            self.clear()
+        self[part] = ids
         return ids
 
 
-_ENCODERS: dict[int, Encoder] = {}
+class Decoder:
+    def __init__(self, content: str):
+        spec = json.loads(content)
+        letters = _byte_letters()
+        known = {i: bytes(letters[c] for c in s) for s, i in spec["model"]["vocab"].items()}
+        known |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        self.table = [known.get(i, b"") for i in range(max(known) + 1)].__getitem__
 
+    def decode(self, ids: bytes) -> str:
+        return b"".join(map(self.table, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+
+_KEPT: dict[tuple[type, int], Encoder | Decoder] = {}
 
-def _encoder(content: str) -> Encoder:
+
+def _kept(kind: type, content: str):
     """One for each worker and vocabulary; workers are used again from task to task."""
-    key = hash(content)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(content)
-    return _ENCODERS[key]
+    key = kind, hash(content)
+    if key not in _KEPT:
+        for k in [k for k in _KEPT if k[0] is kind]:
+            del _KEPT[k]
+        _KEPT[key] = kind(content)
+    return _KEPT[key]
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -183,18 +197,27 @@ def vocabulary(path: str | None = None) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, content: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """docs with out_col: the ids of each whole text, as binary of little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, content: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """docs with out_col: the ids of each whole text, as binary of little-endian unsigned 32-bit integers.
+
+    decoded_col: also the text that these ids decode to, in the same pass over the same worker. Columns of docs by the
+    names of the new ones are replaced.
+    """
+    docs = docs.drop(*(c for c in (out_col, decoded_col) if c and c != text_col))
     shared = docs.sparkSession.sparkContext.broadcast(content)
     at = docs.columns.index(text_col)
+    added = [out_col, *([decoded_col] if decoded_col else [])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = _encoder(shared.value)
-        for b in batches:
-            ids = pa.array((one.encode(t.as_py()) for t in b.column(at)), pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], names=[*b.schema.names, out_col])
+        one, back = _kept(Encoder, shared.value), _kept(Decoder, shared.value) if decoded_col else None
+        for b in pieces(batches):
+            ids = [one.encode(t.as_py()) for t in b.column(at)]
+            new = [pa.array(ids, pa.binary())]
+            if back is not None:
+                new.append(pa.array((back.decode(x) for x in ids), pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *added])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.BinaryType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.BinaryType()), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])]))
 
 
 def decode(rows: DataFrame, content: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -203,8 +226,8 @@ def decode(rows: DataFrame, content: str, ids_col: str = "ids", out_col: str = "
     at = rows.columns.index(ids_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = _encoder(shared.value)
-        for b in batches:
+        one = _kept(Decoder, shared.value)
+        for b in pieces(batches):
             texts = pa.array((one.decode(t.as_py() or b"") for t in b.column(at)), pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, out_col])
 
@@ -214,6 +237,5 @@ def decode(rows: DataFrame, content: str, ids_col: str = "ids", out_col: str = "
 def op7_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     content = vocabulary(path)
-    coded = encode(docs, content).drop("text")
-    hashed = coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
-    return decode(hashed, content).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode(docs, content, decoded_col="decoded")
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
