@@ -58,7 +58,8 @@ def paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     chosen = materialize(best.select(F.col("id").alias("leaf"), "branch", "id"), "chosen")
     for jump in reversed(jumps):
         further = chosen.join(jump, F.col("id") == F.col("_id")).select("leaf", "branch", F.col("_up").alias("id"))
-        chosen = chosen.unionByName(further)
+        # written each time: a lazy plan would hold itself twice, and so double with every round
+        chosen = materialize(chosen.unionByName(further), "chosen")
     turns = base.select(F.col("id").alias("_id"), "role", "text").join(whole.select(F.col("id").alias("_w"), "depth"), F.col("_id") == F.col("_w"))
     return chosen.join(turns, F.col("id") == F.col("_id")).select(F.col("leaf.tree").alias("tree"), F.col("leaf.node").alias("leaf"), "branch", "depth", "role", "text")
 
