@@ -104,8 +104,9 @@ def op9_warc(spark, sf_dir: str) -> DataFrame:
     # digests of the stored bytes, each computed once; the payloads themselves aren't moved
     stored = verified(kept.payloads).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
     read = kept.headers.join(stored, "digest")
-    refers = header_field("X-Refers-To-Page").cast("long")
-    return read.select(header_field("X-Page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", header_field("WARC-Type").alias("record_type"), refers.alias("refers_to"))
+    number = lambda name: F.nullif(header_field(name), F.lit("")).cast("long")
+    refers = number("X-Refers-To-Page")
+    return read.select(number("X-Page").alias("page_id"), "payload_bytes", "payload_digest", header_field("WARC-Type").alias("record_type"), refers.alias("refers_to"))
 
 
 OP9_SQL = f"""
