@@ -8,7 +8,6 @@ predictions; extra columns pass through `classify`. Without a single usable trai
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
@@ -76,21 +75,37 @@ class Classifier:
         return self.langs[best], (second - sizes[best]) / second, second - sizes[best]
 
 
+_KEPT: dict[int, Classifier] = {}
+
+
+def _classifier(dictionaries: dict[str, bytes]) -> Classifier:
+    """One for each worker and set of dictionaries; workers are used again from task to task."""
+    key = hash(tuple(sorted(dictionaries.items())))
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Classifier(dictionaries)
+    return _KEPT[key]
+
+
+SAID = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.LongType())])
+
+
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: int = 1, min_score: float = 0.005) -> DataFrame:
     """docs with lang_pred, score, margin and accepted: false for `und` and for margins that are narrow."""
     model = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    names = docs.columns
-    fields = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.LongType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Classifier(model.value)
-        for b in batches:
-            said = [judge(t.as_py()) for t in b.column(names.index(text_col))]
-            new = [pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64()), pa.array([x[2] for x in said], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, "lang_pred", "score", "margin"])
+    # an Arrow UDF: only texts go to the worker and only verdicts come back; nondeterministic for the optimizer, which
+    # would else run it again for each filter by a verdict
+    @F.arrow_udf(SAID)
+    def judge(texts: pa.Array) -> pa.Array:
+        judge_one = _classifier(model.value)
+        said = [judge_one(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([x[i] for x in said], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.int64()))], names=["lang_pred", "score", "margin"])
 
+    said = docs.withColumn("_said", judge.asNondeterministic()(F.col(text_col)))
+    out = said.withColumns({c: F.col(f"_said.{c}") for c in ("lang_pred", "score", "margin")}).drop("_said")
     accepted = (F.col("lang_pred") != "und") & (F.col("margin") >= min_margin) & (F.col("score") >= min_score)
-    return docs.mapInArrow(run, fields).withColumn("accepted", accepted)
+    return out.withColumn("accepted", accepted)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
