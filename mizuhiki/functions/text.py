@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config
-from .kernels import address_kernel, nfkc, to_fixed, web_url_udf
+from .kernels import address_kernel, jaro_winkler_udf, nfkc, to_fixed, web_url_udf
 
 #: Inside a character class: what counts as white space (wider than Java's \s).
 WS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -141,6 +141,11 @@ def levenshtein_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def best_name_similarity(a: Column, b: Column) -> Column:
+    """The greater of Jaro-Winkler and Levenshtein similarity."""
+    return F.greatest(jaro_winkler_udf(a, b), levenshtein_similarity(a, b))
+
+
 def haversine_meters(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     rise, run = F.sin(F.radians(lat2 - lat1) / 2), F.sin(F.radians(lng2 - lng1) / 2)
     a = rise * rise + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * run * run
