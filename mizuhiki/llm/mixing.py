@@ -63,13 +63,13 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, tota
 
     Adds n_copies, copy (from 0) and mix_key; the shuffle deals rows by mix_key, and each part is sorted by it.
     """
-    known = rates(docs, weights, total, source_col).select(F.col("source").alias("_source"), "cdf")
+    known = rates(docs, weights, total, source_col).select(F.col("source").alias("_mix_source"), F.col("cdf").alias("_mix_cdf"))
     if known.count() <= MAX_BROADCAST:
         known = F.broadcast(known)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    counted = docs.join(known, F.col(source_col).eqNullSafe(F.col("_source")))
-    n = F.when(F.col("cdf").isNull(), F.lit(0)).otherwise(F.size(F.filter("cdf", lambda p: p <= _uniform(key, f"count{seed}"))))
-    copies = counted.withColumn("n_copies", n).drop("cdf", "_source").filter("n_copies > 0")
+    counted = docs.join(known, F.col(source_col).eqNullSafe(F.col("_mix_source")))
+    n = F.when(F.col("_mix_cdf").isNull(), F.lit(0)).otherwise(F.size(F.filter("_mix_cdf", lambda p: p <= _uniform(key, f"count{seed}"))))
+    copies = counted.withColumn("n_copies", n).drop("_mix_cdf", "_mix_source").filter("n_copies > 0")
     copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)))
     copies = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), key, F.col("copy").cast("string"))))
     return copies.repartition("mix_key").sortWithinPartitions("mix_key", id_col)
