@@ -163,31 +163,93 @@ def _bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(octets[i * size : (i + 1) * size], i) - (1 << 63) for i in range(BANDS)]
 
 
-def _digest(text: bytes | None) -> str:
-    return xxhash.xxh128_hexdigest(b" ".join(text.lower().split()) if text else b"")
+def _digest(text: Column) -> Column:
+    """Of the text; the same for all texts without a word. Texts that differ in case or blanks only are linked by bands."""
+    return F.md5(F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(""))
+
+
+#: Texts of a block; a task holds the shingle sets of two blocks.
+BLOCK = 128
+
+
+def _alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sets have a Jaccard similarity of at least `similarity`; by counts of shared values only."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], float)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, value, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[value] > 1
+    column = np.cumsum(times > 1) - 1
+    owner, column = owner[shared], column[value[shared]]
+    both = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, (start, start + 4096))
+        part = np.zeros((n, 4096), np.float32)
+        part[owner[i:j], column[i:j] - start] = 1
+        both += part @ part.T
+    return both >= similarity * (sizes[:, None] + sizes[None, :] - both)
+
+
+def _across(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(center, digest): edges that join whatever links of rows (band, key, digest, label) of a band and key join.
+
+    Rows of one label are known to hang together. So those that lack the most frequent label of their band and key are
+    held against all of its rows: blocks of the former against blocks of the latter, each pair of blocks by itself.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: list[tuple[str, str]] = []
+            for members in b.column(0):
+                own = {m["digest"].as_py(): m["hashes"].as_py() for m in members}
+                names = sorted(own)
+                alike = _alike([np.frombuffer(own[d], "<u8") for d in names], similarity)
+                unseen = np.ones(len(names), bool)
+                for first in range(len(names)):
+                    stack = [first] if unseen[first] else []
+                    unseen[first] = False
+                    while stack:
+                        i = stack.pop()
+                        near = np.flatnonzero(alike[i] & unseen)
+                        unseen[near] = False
+                        stack.extend(near.tolist())
+                        found.extend((names[i], names[k]) for k in near)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], names=["center", "digest"])
+
+    counts = rows.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
+    sizes = sizes.filter("n > most.n").select("band", "key", F.col("most.label").alias("most"), F.ceil(F.col("n") / BLOCK).cast("int").alias("all"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("few"))
+    dealt = rows.join(sizes, ["band", "key"])
+    block = lambda n: F.pmod(F.xxhash64("digest"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = dealt.filter("label <> most").withColumn("i", block("few")).withColumn("j", upto("all"))
+    every = dealt.withColumn("j", block("all")).withColumn("i", upto("few"))
+    both = few.select("digest", "band", "key", "i", "j").unionByName(every.select("digest", "band", "key", "i", "j")).distinct()
+    groups = both.join(sets, "digest").groupBy("band", "key", "i", "j").agg(F.collect_list(F.struct("digest", "hashes")).alias("members"))
+    return groups.filter("size(members) > 1").select("members").mapInArrow(run, "center string, digest string").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, digest, component, keeper): for each distinct id and word sequence, its group and whether it's the one that stays.
+    """(id, digest, copies, component, keeper): for each distinct id and text, its group and whether it's the one that stays.
 
     Texts link if the Jaccard similarity of their shingle sets is at least `similarity`; components of links are the
-    groups. Texts with equal word sequences, such as those without a word, are one text. A 64-bit SimHash can't find
+    groups. Equal texts are one, and so are all without a word. A 64-bit SimHash can't find
     these links (the README has figures), so candidates come from bands of min-hashes of the same shingles and are
-    verified with the whole sets. In each band, all texts are held against the least one; those that aren't similar to
-    it are dealt with again among themselves until none is left: as many edges as rows, and no link cut off by a cap.
+    verified with the whole sets. In each band, all texts are held against the least one, so a large group of copies
+    makes as many edges as rows; those that these links leave apart are held against all others of the band, in blocks
+    that bound what a task holds, and a spanning forest of their links is kept. No cap cuts off a link.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.as_py() for t in b.column(1)]
-            sets = [np.unique(shingle_hashes(t, words)) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_digest(t) for t in texts]), pa.array([_bands(h) if len(h) else [] for h in sets], pa.list_(pa.int64()))], names=["id", "digest", "bands"])
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_bands(h) if len(h) else [] for h in sets], pa.list_(pa.int64()))], names=["id", "digest", "bands"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, wanted = [t.as_py() for t in b.column(0)], b.column(1).to_pylist()
-            own = [(d, np.unique(shingle_hashes(t, words)).astype("<u8").tobytes()) for t, d in zip(texts, wanted) if _digest(t) == d]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.string()), pa.array([x[1] for x in own], pa.binary())], names=["digest", "hashes"])
+            sets = pa.array((np.unique(shingle_hashes(t.as_py(), words)).astype("<u8").tobytes() for t in b.column(1)), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["digest", "hashes"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,36 +261,31 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(alike, pa.bool_())], names=["center", "digest", "alike"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), _digest(F.col(text_col)).alias("digest"), F.col(text_col).cast("binary").alias("text"))
     signed = materialize(rows.mapInArrow(sign, f"id {kind}, digest string, bands array<long>"), "signed")
-    # binary order of digests is as random as any: the least of a band is its center
+    # digests are in no order that has to do with texts: the least of a band is its center
     left = signed.select("digest", F.posexplode("bands").alias("band", "key")).distinct()
     sizes = left.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     left = materialize(left.join(sizes, ["band", "key"]), "bands")
+    # one row for each text that has a candidate; by id and text, as either may be that of a third of all rows
     firsts = signed.groupBy("digest").agg(F.min("id").alias("id"))
-    wanted = left.select("digest").distinct().join(firsts, "digest")
-    sets = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"])).select("text", "digest").mapInArrow(gather, "digest string, hashes binary")
-    sets = materialize(sets.dropDuplicates(["digest"]), "sets")
-    links = None
-    seen = None  # pairs that were judged before
-    while not left.isEmpty():
-        centers = left.groupBy("band", "key").agg(F.min("digest").alias("center"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        rest = left.join(centers, ["band", "key"]).filter("digest <> center")
-        pairs = rest.select("center", "digest").distinct()
-        if seen is not None:
-            pairs = pairs.join(seen.select("center", "digest"), ["center", "digest"], "left_anti")
-        full = pairs.join(sets.withColumnRenamed("hashes", "x").withColumnRenamed("digest", "center"), "center").join(sets.withColumnRenamed("hashes", "y"), "digest")
-        judged = materialize(full.select("center", "digest", "x", "y").mapInArrow(verify, "center string, digest string, alike boolean"), "judged")
-        seen = judged if seen is None else seen.unionByName(judged)
-        found = judged.filter("alike").select("center", "digest")
-        links = found if links is None else links.unionByName(found)
-        left = materialize(rest.join(seen.filter("not alike").select("center", "digest"), ["center", "digest"], "left_semi").select("digest", "band", "key"), "bands")
+    wanted = left.select("digest").distinct().join(firsts, "digest").select(F.col("digest").alias("_d"), F.col("id").alias("_i"))
+    found = rows.join(wanted, (F.col("digest") == F.col("_d")) & F.col("id").eqNullSafe(F.col("_i"))).groupBy("digest").agg(F.first("text").alias("text"))
+    sets = materialize(found.mapInArrow(gather, "digest string, hashes binary"), "sets")
+    # each text against the least one of its band
+    centers = left.groupBy("band", "key").agg(F.min("digest").alias("center"))
+    rest = left.join(centers, ["band", "key"]).filter("digest <> center")
+    pairs = rest.select("center", "digest").distinct()
+    full = pairs.join(sets.withColumnsRenamed({"hashes": "x", "digest": "center"}), "center").join(sets.withColumnRenamed("hashes", "y"), "digest")
+    judged = materialize(full.select("center", "digest", "x", "y").mapInArrow(verify, "center string, digest string, alike boolean"), "judged")
+    links = judged.filter("alike").select("center", "digest")
+    # then what these links leave apart within a band
+    labels = connected_components(links, "center", "digest").select(F.col("id").alias("digest"), "component")
+    labelled = left.join(labels, "digest", "left").select("band", "key", "digest", F.coalesce("component", "digest").alias("label"))
+    links = links.unionByName(materialize(_across(materialize(labelled, "labelled"), sets, similarity), "links"))
     ids = signed.groupBy("id", "digest").agg(F.count("*").alias("copies"))
-    if links is not None:
-        parts = connected_components(links, "center", "digest").withColumnRenamed("id", "digest")
-        ids = ids.join(parts, "digest", "left")
-    else:
-        ids = ids.withColumn("component", F.lit(None).cast("string"))
+    parts = connected_components(links, "center", "digest").withColumnRenamed("id", "digest")
+    ids = ids.join(parts, "digest", "left")
     ids = materialize(ids.select("id", "digest", "copies", F.coalesce("component", "digest").alias("component")), "groups")
     stays = ids.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("first"))
     joined = ids.join(stays, "component")
@@ -237,29 +294,15 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of `near_duplicate_groups`: that of the least id (nulls first), then digest."""
-    keepers = materialize(near_duplicate_groups(docs, id_col, text_col, words, similarity).filter("keeper").select(F.col("id").alias("_id"), "digest", "copies"), "keepers")
-    by_id = keepers.groupBy("_id").agg(F.collect_list("digest").alias("_digests"), F.max("copies").alias("_copies"))
-    packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_key"), F.col(text_col).alias("_text"))
-    joined = packed.join(by_id, packed["_key"].eqNullSafe(by_id["_id"]))
-    # An id that is not unique needs its texts told apart; those rows are few, or equal.
-    texts = packed.groupBy(F.col("_key").alias("_id")).agg(F.count("*").alias("_n")).filter("_n > 1")
-    many = materialize(texts, "repeated")
-    if many.isEmpty():
+    groups = near_duplicate_groups(docs, id_col, text_col, words, similarity)
+    keepers = materialize(groups.filter("keeper").select(F.col("id").alias("_i"), F.col("digest").alias("_d"), "copies"), "keepers")
+    packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), _digest(F.col(text_col)).alias("_digest"))
+    joined = packed.join(keepers, (F.col("_digest") == F.col("_d")) & F.col("_id").eqNullSafe(F.col("_i")))
+    if keepers.filter("copies > 1").isEmpty():
         return joined.select("_row.*")
-    marked = joined.join(many.select(F.col("_id").alias("_m"), F.lit(True).alias("_many")), joined["_key"].eqNullSafe(F.col("_m")), "left")
-    names = F.col("_row").alias("_row")
-    one = marked.filter("_many is null").select(names)
-    several = marked.filter("_many").select(names, "_key", "_digests", F.col("_text").cast("binary").alias("_t"))
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            digests = [_digest(t.as_py()) for t in b.column(3)]
-            keep = pa.array([d in set(w.as_py()) for d, w in zip(digests, b.column(2))], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digests)], names=["_row", "_key", "_digest"]).filter(keep)
-
-    fields = several.select("_row", "_key").schema.add("_digest", "string")
-    again = several.mapInArrow(pick, fields).groupBy("_key", "_digest").agg(F.first("_row").alias("_row"))
-    return one.unionByName(again.select("_row")).select("_row.*")
+    # rows with both an id and a text in common are one
+    several = joined.filter("copies > 1").groupBy("_id", "_digest").agg(F.first("_row").alias("_row"))
+    return joined.filter("copies = 1").select("_row").unionByName(several.select("_row")).select("_row.*")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
