@@ -40,17 +40,22 @@ def paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     known = links.select(F.col("id").alias("_up"))
     links = links.join(known, F.col("up") == F.col("_up"), "left").select("id", F.when(F.col("_up").isNotNull(), F.col("up")).alias("up"), F.lit(1).cast("long").alias("depth"), "score")
     now = materialize(links, "pointers")
-    jumps = []
     limit = max(1, now.count()).bit_length() + 1
-    while len(jumps) <= limit:
-        jumps.append(now.filter("up is not null").select(F.col("id").alias("_id"), F.col("up").alias("_up")))
-        if jumps[-1].isEmpty():
-            jumps.pop()
-            break
-        more = now.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("score").alias("_s"))
-        joined = now.join(more, F.col("up") == F.col("_id"), "left")
-        now = materialize(joined.select("id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("_s", F.lit(0.0))).alias("score")), "pointers")
-    whole = now.filter("up is null")  # all but those on a cycle
+    # nodes whose pointer has passed the root are done; a round is about the others only, ever fewer of them
+    done, active, jumps = [now.filter("up is null")], now.filter("up is not null"), []
+    while len(jumps) <= limit and not active.isEmpty():
+        jumps.append(active.select(F.col("id").alias("_id"), F.col("up").alias("_up")))
+        state = active
+        for d in done:
+            state = state.unionByName(d)
+        state = state.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("score").alias("_s"))
+        joined = active.join(state, F.col("up") == F.col("_id"))
+        now = materialize(joined.select("id", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"), (F.col("score") + F.col("_s")).alias("score")), "pointers")
+        done.append(now.filter("up is null"))
+        active = now.filter("up is not null")
+    whole = done[0]  # all but those on a cycle
+    for d in done[1:]:
+        whole = whole.unionByName(d)
     parents = links.filter("up is not null").select(F.col("up").alias("_p")).distinct()
     leaves = whole.join(parents, F.col("id") == F.col("_p"), "left_anti")
     order = Window.partitionBy(F.col("id.tree")).orderBy(F.desc("score"), F.desc("depth"), F.col("id.node"))
