@@ -15,11 +15,12 @@ BLANK = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words in repeated windows
-#: Ratios whose quantiles are sketched. Each has an upper fence, `SPREADS` quartile distances above the upper quartile.
-RATIOS = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "word_length")
-SPREADS = 6.0
-#: No fence is lower than this, so that a group without any spread rejects nothing slight.
-FLOORS = {"symbol_ratio": 0.03, "dup_line_ratio": 0.5, "repeat_ratio": 0.45, "word_length": 7.0}
+#: Ratios that are sketched: lower and upper quantile, and by how many of their distances a fence is above the upper one.
+#: Repetition is zero in most documents and slight in many good ones, so quartiles tell nothing and a high quantile does.
+FENCES = {"symbol_ratio": (0.25, 0.75, 6.0), "dup_line_ratio": (0.25, 0.99, 0.0), "repeat_ratio": (0.25, 0.99, 0.0), "word_length": (0.25, 0.75, 6.0)}
+RATIOS = tuple(FENCES)
+#: No fence is lower than this: one in a thousand is slight even where the quantiles are zero.
+EPSILON = 0.001
 #: Groups with fewer rows than this use the fences of their language, and those of all rows if that has as few.
 MIN_ROWS = 100
 #: Size of the KLL sketches: exact below about this many rows, a rank error of some 0.2 % beyond.
@@ -87,7 +88,7 @@ def _ratios(measured: DataFrame) -> DataFrame:
 
 
 def fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang, source, <ratio>_fence): of each group of `measures`, from sketches of its rows that pass the base rules.
+    """(lang, source, <ratio>_fence): of each group of `measures`, from sketches of its rows that pass the base rules; null if none does.
 
     One sketch for each group and ratio, built by map-side partial aggregation; those of a language, and of all, are
     merged from them. The result is written to the scratch folder: one row for each group.
@@ -99,9 +100,9 @@ def fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     merged = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(r, SKETCH_K).alias(r) for r in RATIOS)]
 
     def fence(sketches: DataFrame, prefix: str) -> DataFrame:
-        quartiles = {r: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(r, F.array(F.lit(0.25), F.lit(0.75)))) for r in RATIOS}
-        out = sketches.withColumns({f"_{r}": q for r, q in quartiles.items()})
-        upper = (F.greatest(F.lit(FLOORS[r]), F.col(f"_{r}")[1] + SPREADS * (F.col(f"_{r}")[1] - F.col(f"_{r}")[0])).alias(r) for r in RATIOS)
+        quantiles = {r: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(r, F.array(F.lit(low), F.lit(high)))) for r, (low, high, _) in FENCES.items()}
+        out = sketches.withColumns({f"_{r}": q for r, q in quantiles.items()})
+        upper = (F.when(F.col("n") > 0, F.greatest(F.lit(EPSILON), F.col(f"_{r}")[1] + spreads * (F.col(f"_{r}")[1] - F.col(f"_{r}")[0]))).alias(r) for r, (_, _, spreads) in FENCES.items())
         return out.select(*(c for c in ("lang", "source") if c in sketches.columns), F.struct("n", *upper).alias(prefix))
 
     by_lang, overall = fence(own.groupBy("lang").agg(*merged), "l"), fence(own.agg(*merged).filter("n is not null"), "o")
@@ -111,7 +112,7 @@ def fences(measured: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     joined = joined.alias("e").join(by_lang.alias("b"), same("e", "b", "lang"), "left").select("e.*", "l").join(F.broadcast(overall), F.lit(True), "left")
     chosen = F.when(F.col("g.n") >= MIN_ROWS, F.col("g")).when(F.col("l.n") >= MIN_ROWS, F.col("l")).otherwise(F.col("o"))
     chosen = joined.select("lang", "source", chosen.alias("f"))
-    return materialize(chosen.select("lang", "source", *(F.coalesce(F.col(f"f.{r}"), F.lit(FLOORS[r])).alias(f"{r}_fence") for r in RATIOS)), "fences")
+    return materialize(chosen.select("lang", "source", *(F.col(f"f.{r}").alias(f"{r}_fence") for r in RATIOS)), "fences")
 
 
 def judge(measured: DataFrame, limits: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -122,7 +123,7 @@ def judge(measured: DataFrame, limits: DataFrame, lang_col: str = "lang", source
     joined = _ratios(measured).join(limits, F.col(lang_col).eqNullSafe(F.col("_lang")) & F.col(source_col).eqNullSafe(F.col("_source")), "left")
     over = F.lit(False)
     for r in RATIOS:
-        over = over | (F.col(r) > F.coalesce(F.col(f"{r}_fence"), F.lit(FLOORS[r])))
+        over = over | F.coalesce(F.col(r) > F.col(f"{r}_fence"), F.lit(False))
     # one CASE for both: a filter by it stays above the join
     return joined.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(~over)).drop("_lang", "_source", *RATIOS, *(f"{r}_fence" for r in RATIOS))
 

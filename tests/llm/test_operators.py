@@ -187,6 +187,29 @@ def test_quality_verdicts(spark, docs, nothing):
     assert quality.judge(e, quality.fences(e)).count() == 0
 
 
+def test_quality_fences_follow_sketches(spark):
+    def row(lang, source, k):
+        usual = source == "logs"
+        # of 1,000 rows: 5 repeat more, 5 have longer words and 5 a symbol or two, all below any cutoff fixed for every source
+        dup, repeat, length, symbols = (0.3, 0.2, 6.5, 0.02) if usual else (0.3 if k < 5 else 0.0, 0.2 if 5 <= k < 10 else 0.0, 6.5 if 10 <= k < 15 else 4.0 + k % 10 / 100, 0.02 if 15 <= k < 20 else 0.0)
+        return (lang, source, k, 1000, round(length * 1000), round(symbols * length * 1000), round(dup * 100), 100, round(repeat * 1000), False)
+
+    schema = "lang string, source string, k long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, base_failed boolean"
+    rows = [row("xx", s, k) for s in ("prose", "logs") for k in range(1000)] + [row("xx", "few", k) for k in range(20)]
+    measured = materialize(spark.createDataFrame(rows, schema), "m")
+    limits = quality.fences(measured)
+    judged = quality.judge(measured, limits).collect()
+    assert {r["k"] for r in judged if r["source"] == "prose" and not r["kept"]} == set(range(20))
+    assert all(r["kept"] for r in judged if r["source"] == "logs")
+    of = {r["source"]: r for r in limits.collect()}
+    assert all(of["logs"][f"{r}_fence"] > of["prose"][f"{r}_fence"] for r in quality.RATIOS)
+    # nothing passes the base rules: no fence, and no row is kept
+    failed = measured.withColumn("base_failed", F.lit(True))
+    none = quality.fences(failed)
+    assert all(r["symbol_ratio_fence"] is None for r in none.collect())
+    assert quality.judge(failed, none).filter("kept").count() == 0
+
+
 # --- 6 --------------------------------------------------------------------------------------------------------------
 def test_mixing(spark, docs, nothing):
     df = spark.createDataFrame([(i, "big" if i % 10 else "small") for i in range(20000)], "doc_id long, source string")
