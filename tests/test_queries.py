@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from mizuhiki.functions.text import best_name_similarity
 from mizuhiki.operators.classify import heavy_brands
 from mizuhiki.operators.normalize import normalize_records
+from mizuhiki.operators.pairs import candidate_pairs
 from mizuhiki.plans import queries as engine
 from mizuhiki.streaming.stateless import clean_stream, resolve_batches, score_stream
 
@@ -47,6 +48,18 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_auto_pairing_over_whole_inputs(spark):
+    """All pairs of 500 records, and blocks beyond, by brute force; no registered query is on an id subset."""
+    columns = "record_index long, normalized_name string, normalized_phone string, normalized_address string, normalized_url string, lat double, lng double"
+    rows = [(i, f"{i % 90:04d} shop", str(i % 70 or ""), f"town {i % 110}-1", f"u{i % 130}" if i % 3 else "", 35.0 + i % 60 if i % 2 else None, 139.0) for i in range(501)]
+    cell = lambda r: None if r[5] is None else (r[5], r[6])
+    keys = [(r[2] or None, r[1][:4], r[3][:10] if len(r[3]) >= 6 else None, r[4] or None, cell(r)) for r in rows]
+    pairs_of = lambda df: sorted(map(tuple, candidate_pairs(df).select("left_idx", "right_idx").collect()))
+    assert pairs_of(spark.createDataFrame(rows[:500], columns)) == [(i, j) for i in range(500) for j in range(i + 1, 500)]
+    assert pairs_of(spark.createDataFrame(rows, columns)) == [(i, j) for i in range(501) for j in range(i + 1, 501) if any(a is not None and a == b for a, b in zip(keys[i], keys[j]))]
+    assert not any("record_index <" in sql.replace("record_index < r.record_index", "") for sql in engine.ORACLES.values())
+
+
 def test_best_name_similarity(spark):
     r = spark.range(1).select(best_name_similarity(F.lit("鳥貴族"), F.lit("鳥貴")).alias("s")).first()
     assert round(r["s"], 4) == 0.9111
