@@ -59,21 +59,26 @@ select source, k, name,
 from s join nation on nk = n_nationkey"""
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = LISTINGS
+#: Listings whose names begin with three digits of a hash, so that names make many small blocks.
+NAMED = f"""select source, k, concat(substring(md5(cast(k as varchar(10))), 1, 3), ' ', name) as name, phone, address, lat, lng, url, record_index
+from ({LISTINGS}) as x"""
+
+
+def listings(spark: SparkSession, sf_dir: str, sql: str = LISTINGS) -> DataFrame:
     for name in ("supplier", "customer", "part", "nation"):
         sql = re.sub(rf"\b(from|join) {name}\b", rf"\1 parquet.`{sf_dir}/{name}.parquet`", sql)
     return spark.sql(sql)
 
 
-def normalized_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def normalized_listings(spark: SparkSession, sf_dir: str, sql: str = LISTINGS) -> DataFrame:
     """Listings as the columns that pairs compare, by plain lower case: the oracle does the same."""
-    return listings(spark, sf_dir).select("record_index", "source", F.lower("name").alias("normalized_name"), F.col("name").alias("raw_name"), F.replace("phone", F.lit("-"), F.lit("")).alias("normalized_phone"), F.col("phone").alias("raw_phone"), F.lower(F.replace("address", F.lit(" "), F.lit(""))).alias("normalized_address"), F.col("address").alias("raw_address"), "lat", "lng", F.substring_index("url", "?", 1).alias("normalized_url"), "url")
+    return listings(spark, sf_dir, sql).select("record_index", "source", F.lower("name").alias("normalized_name"), F.col("name").alias("raw_name"), F.replace("phone", F.lit("-"), F.lit("")).alias("normalized_phone"), F.col("phone").alias("raw_phone"), F.lower(F.replace("address", F.lit(" "), F.lit(""))).alias("normalized_address"), F.col("address").alias("raw_address"), "lat", "lng", F.substring_index("url", "?", 1).alias("normalized_url"), "url")
 
 
 NORMAL_SQL = f"""l as ({LISTINGS}),
 n as (select record_index, source, lower(name) as normalized_name, name as raw_name, replace(phone, '-', '') as normalized_phone, phone as raw_phone,
   lower(replace(address, ' ', '')) as normalized_address, address as raw_address, lat, lng, split_part(url, '?', 1) as normalized_url, url from l)"""
+NAMED_SQL = NORMAL_SQL.replace(LISTINGS, NAMED)
 
 # --- Scalar functions -----------------------------------------------------------------------------------------------
 PHONES = """case c_custkey % 6 when 0 then concat('+81-3-', lpad(cast(c_custkey as varchar(12)), 8, '0')) when 1 then concat('0081 90', lpad(cast(c_custkey as varchar(12)), 8, '0'))
@@ -289,8 +294,8 @@ def _reasons(spark, sf):
 
 
 # --- Pairs, scores, clusters ----------------------------------------------------------------------------------------
-def _block_sql(condition: str) -> str:
-    return f"with {NORMAL_SQL} select l.record_index as left_idx, r.record_index as right_idx from n l join n r on l.record_index < r.record_index and ({condition})"
+def _block_sql(condition: str, normal: str = NORMAL_SQL) -> str:
+    return f"with {normal} select l.record_index as left_idx, r.record_index as right_idx from n l join n r on l.record_index < r.record_index and ({condition})"
 
 
 def _cell(side: str) -> str:
@@ -315,6 +320,20 @@ def _union(spark, sf):
     return pairs.blocked_pairs(normalized_listings(spark, sf), tuple(BLOCK_SQL)).select("left_idx", "right_idx")
 
 
+NAME_SQL = "length(l.normalized_name) >= 4 and length(r.normalized_name) >= 4 and substr(l.normalized_name, 1, 4) = substr(r.normalized_name, 1, 4)"
+
+
+@query("block_pairs_name", _block_sql(NAME_SQL, NAMED_SQL))
+def _named(spark, sf):
+    return pairs.blocked_pairs(normalized_listings(spark, sf, NAMED), ("name",)).select("left_idx", "right_idx")
+
+
+@query("block_pairs_all", _block_sql(" or ".join(f"({x})" for x in (*BLOCK_SQL.values(), NAME_SQL)), NAMED_SQL))
+def _all_kinds(spark, sf):
+    """All five kinds; `block_pairs_union` has the four that its SQL names, as names of LISTINGS would pair all suppliers and customers."""
+    return pairs.blocked_pairs(normalized_listings(spark, sf, NAMED)).select("left_idx", "right_idx")
+
+
 @query("block_sizes_name", f"with {NORMAL_SQL} select substr(normalized_name, 1, 4) as key, count(*) as n, cast(count(*) * (count(*) - 1) / 2 as bigint) as pairs from n where length(normalized_name) >= 4 group by 1")
 def _name_sizes(spark, sf):
     return pairs.block_sizes(normalized_listings(spark, sf), ("name",)).select("key", "n", "pairs")

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from mizuhiki.functions.text import best_name_similarity
 from mizuhiki.operators.classify import heavy_brands
 from mizuhiki.operators.normalize import normalize_records
-from mizuhiki.operators.pairs import candidate_pairs
+from mizuhiki.operators.pairs import blocked_pairs, candidate_pairs
 from mizuhiki.plans import queries as engine
 from mizuhiki.streaming.stateless import clean_stream, resolve_batches, score_stream
 
@@ -60,6 +60,13 @@ def test_auto_pairing_over_whole_inputs(spark):
     assert not any("record_index <" in sql.replace("record_index < r.record_index", "") for sql in engine.ORACLES.values())
 
 
+@pytest.mark.skipif(not SF.exists(), reason="no test tables here")
+def test_names_make_pairs_of_their_own(spark):
+    got = {n: {tuple(r) for r in engine.QUERIES[n](spark, str(SF)).collect()} for n in ("block_pairs_name", "block_pairs_all")}
+    without = {tuple(r) for r in blocked_pairs(engine.normalized_listings(spark, str(SF), engine.NAMED), tuple(engine.BLOCK_SQL)).select("left_idx", "right_idx").collect()}
+    assert got["block_pairs_name"] - without and got["block_pairs_all"] == got["block_pairs_name"] | without
+
+
 def test_best_name_similarity(spark):
     r = spark.range(1).select(best_name_similarity(F.lit("鳥貴族"), F.lit("鳥貴")).alias("s")).first()
     assert round(r["s"], 4) == 0.9111
