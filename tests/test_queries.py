@@ -67,6 +67,13 @@ def test_names_make_pairs_of_their_own(spark):
     assert got["block_pairs_name"] - without and got["block_pairs_all"] == got["block_pairs_name"] | without
 
 
+@pytest.mark.skipif(not SF.exists(), reason="no test tables here")
+def test_whole_run_links_listings_without_phone(spark):
+    got = engine.QUERIES["resolve_listings"](spark, str(SF)).collect()
+    assert any(r["n_records"] > 1 and not r["phone"] for r in got)
+    assert sum(r["n_records"] for r in got) == engine.listings(spark, str(SF)).count()  # no listing is lost
+
+
 def test_best_name_similarity(spark):
     r = spark.range(1).select(best_name_similarity(F.lit("鳥貴族"), F.lit("鳥貴")).alias("s")).first()
     assert round(r["s"], 4) == 0.9111
