@@ -99,11 +99,26 @@ def reconstruct(kept: Archive) -> DataFrame:
     return joined.select("id", record.alias("record"), "payload")
 
 
+def read_back(kept: Archive) -> DataFrame:
+    """(header, payload_bytes, payload_digest) read from the bytes of each reconstructed record.
+
+    An error if a record's Content-Length, its WARC-Payload-Digest or the payload inside a response isn't what its bytes say.
+    """
+    text = F.col("record").cast("string")  # the same bytes
+    ends = [(F.octet_length(F.substring_index(text, CRLF * 2, n)) + 4).alias(f"end{n}") for n in (1, 2)]
+    header = F.concat(F.substring_index(text, CRLF * 2, 1), F.lit(CRLF)).alias("header")
+    rows = reconstruct(kept).select("record", "payload", header, *ends, base32_sha1(F.col("payload")).alias("payload_digest"))
+    size = F.octet_length("record") - 4
+    inside = F.col("record").substr(F.col("end2") + 1, size - F.col("end2"))
+    fits = (header_field("Content-Length").cast("long") == size - F.col("end1")) & (header_field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest")))
+    fits = fits & (inside == F.when(header_field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b"")))
+    digest = F.when(F.coalesce(fits, F.lit(False)), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged record "), F.col("header"))).cast("string"))
+    return rows.select("header", F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"))
+
+
 def op9_warc(spark, sf_dir: str) -> DataFrame:
     kept = archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    # digests of the stored bytes, each computed once; the payloads themselves aren't moved
-    stored = verified(kept.payloads).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    read = kept.headers.join(stored, "digest")
+    read = read_back(kept)
     number = lambda name: F.nullif(header_field(name), F.lit("")).cast("long")
     refers = number("X-Refers-To-Page")
     return read.select(number("X-Page").alias("page_id"), "payload_bytes", "payload_digest", header_field("WARC-Type").alias("record_type"), refers.alias("refers_to"))

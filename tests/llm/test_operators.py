@@ -343,6 +343,21 @@ def test_warc(spark, table):
     assert warc.archive(spark.createDataFrame([], schema)).headers.count() == 0
 
 
+def test_warc_records_are_read_back(spark):
+    import base64
+
+    rows = [(1, "u1", "one\r\n\r\ntwo"), (2, "u2", "one\r\n\r\ntwo"), (3, None, None), (None, "u4", "日本")]
+    kept = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {(r["payload_bytes"], r["payload_digest"]) for r in warc.read_back(kept).collect()}
+    assert got == {(len(b), base64.b32encode(hashlib.sha1(b).digest()).decode()) for b in ((x[2] or "").encode() for x in rows)}
+    for name, wrong in (("Content-Length", "9"), ("WARC-Payload-Digest", "sha1:" + "A" * 32)):
+        bad = kept.headers.withColumn("header", F.regexp_replace("header", rf"\r\n{name}: [^\r\n]*", f"\r\n{name}: {wrong}"))
+        with pytest.raises(Exception, match="damaged record"):
+            warc.read_back(warc.Archive(bad, kept.payloads)).collect()
+    with pytest.raises(Exception, match="damaged record"):
+        warc.read_back(warc.Archive(kept.headers.withColumn("http", F.lit("")), kept.payloads)).collect()
+
+
 # --- 8 --------------------------------------------------------------------------------------------------------------
 def test_avi_files():
     rng = random.Random(8)
