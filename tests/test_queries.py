@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from mizuhiki import config
 from mizuhiki.functions.text import best_name_similarity
-from mizuhiki.operators.classify import heavy_brands
+from mizuhiki.operators.classify import classify, heavy_brands
 from mizuhiki.operators.normalize import normalize_records
 from mizuhiki.operators.pairs import blocked_pairs, candidate_pairs
 from mizuhiki.plans import queries as engine
@@ -79,6 +80,17 @@ def test_best_name_similarity(spark):
     assert round(r["s"], 4) == 0.9111
 
 
+@pytest.mark.parametrize("facilities", [False, True])
+def test_stream_scores_are_those_of_classify(spark, facilities):
+    rows = [(i, "鳥貴族 新宿店" if i % 2 else f"さくら{i} 中央店", "rocket", ("イオンモール", "ルミネ 3F", "x")[i % 3], {"reviews": ("600", "300", "10")[i // 3 % 3]}) for i in range(18)]
+    batch = normalize_records(spark.createDataFrame(rows, "record_index long, name string, source string, address string, raw map<string,string>"))
+    options = config.Options(exclude_commercial_facilities=facilities)
+    columns = ("record_index", "chain_score", "chain_flag", "mall_flag")
+    got = score_stream(batch, ["鳥貴族"], heavy_brands(batch, options.chain.occurrence_from), options).select(*columns).collect()
+    want = classify(batch, ["鳥貴族"], options).select(*columns).collect()
+    assert sorted(got) == sorted(want) and len({r["chain_score"] for r in got}) > 3 and any(r["mall_flag"] for r in got)
+
+
 def test_streams(spark, tmp_path):
     rows = [(i, "鳥貴族 新宿店" if i % 2 else "さくら", "rocket", "イオンモール" if i == 2 else "x") for i in range(6)]
     schema = "record_index long, name string, source string, address string"
