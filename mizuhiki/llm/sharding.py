@@ -91,7 +91,8 @@ def _split_level(rows: DataFrame, nodes: list[_Node], dims: int, total: float, l
 def kd_shards(docs: DataFrame, dimensions: Sequence[Column], shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, size, text_crc32, shard, slot): shards of nearly equal bytes, rows alike in their metadata together.
 
-    dimensions: columns that can be cast to long. A node of m leaves is cut where its lower m // 2 leaves have their
+    dimensions: columns that can be cast to long; nulls count as 0. Each is counted from its minimum over docs, and if that
+    takes more than 31 bits, without its lowest ones. A node of m leaves is cut where its lower m // 2 leaves have their
     part of its bytes; with target_bytes, there are as many leaves as that takes. Each level takes a pass for the
     extents and a few histogram passes over (node, key, size) rows; the driver sees no more than BINS bins for a node.
     Slots number a shard's rows from 0 without gaps, in runs of some RUN rows that are numbered apart.
@@ -100,8 +101,15 @@ def kd_shards(docs: DataFrame, dimensions: Sequence[Column], shards: int | None
         raise ValueError("give either shards or target_bytes")
     text = F.col(text_col)
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
-    values = [F.greatest(F.least(F.coalesce(F.col(f"d{i}"), F.lit(0)), F.lit((1 << 31) - 1)), F.lit(0)) for i in range(len(dimensions))]
-    base = docs.select(F.col(id_col), size.alias("size"), F.crc32(F.coalesce(text, F.lit(""))).cast("long").alias("text_crc32"), *(c.cast("long").alias(f"d{i}") for i, c in enumerate(dimensions)))
+    base = docs.select(F.col(id_col), size.alias("size"), F.crc32(F.coalesce(text, F.lit(""))).cast("long").alias("text_crc32"), *(F.coalesce(c.cast("long"), F.lit(0).cast("long")).alias(f"d{i}") for i, c in enumerate(dimensions)))
+    ends = base.agg(*(f(f"d{i}") for i in range(len(dimensions)) for f in (F.min, F.max))).first()
+    values = []
+    for i in range(len(dimensions)):
+        low, high = ends[2 * i] or 0, ends[2 * i + 1] or 0
+        shift = max(0, (high - low).bit_length() - 31)
+        if (high >> shift) - (low >> shift) >= 1 << 31:
+            shift += 1
+        values.append(F.shiftright(f"d{i}", shift) - F.lit(low >> shift).cast("long"))
     base = base.withColumn("uid", F.monotonically_increasing_id())
     # a key: the value in the upper 32 bits, below them a number that no two rows are likely to share
     tie = F.shiftrightunsigned(F.xxhash64("uid"), 33)

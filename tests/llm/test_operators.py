@@ -210,6 +210,13 @@ def test_quality_fences_follow_sketches(spark):
     assert quality.judge(failed, none).filter("kept").count() == 0
 
 
+def test_dimensions_of_any_range_order_rows(spark):
+    for low, step in ((-500, 1), (1_700_000_000_000, 86_400_000), (-(1 << 62), 1 << 53)):
+        df = spark.createDataFrame([(i, "word", low + step * (i * 7 % 1000)) for i in range(1000)], "doc_id long, text string, at long")
+        out = sharding.kd_shards(df, [F.col("at")], shards=4).join(df, "doc_id").groupBy("shard").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.count("*").alias("n")).orderBy("a").collect()
+        assert [r["n"] for r in out] == [250] * 4 and all(x["b"] < y["a"] for x, y in zip(out, out[1:]))
+
+
 # --- 6 --------------------------------------------------------------------------------------------------------------
 def test_mixing(spark, docs, nothing):
     df = spark.createDataFrame([(i, "big" if i % 10 else "small") for i in range(20000)], "doc_id long, source string")
