@@ -1,17 +1,20 @@
 """Content-addressed WARC archive: payload bytes once per strong digest, exact record headers apart, records by joins.
 
-Null payloads are empty ones; null page ids come last among equal payloads, and null urls yield no target line. Of
-repeated rows one is the response. Extra columns are ignored. An empty table gives an empty archive.
+Null payloads are empty ones; null page ids come last among equal payloads, and null ids and urls yield no line. Of
+repeated rows, and of rows with equal ids, one is the response. A payload of any length is one cell, which must fit in a
+task. Extra columns are ignored, whatever their names. An empty table gives an empty archive.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..operators.skew import look_up
+from ..session import discard, materialize, scratch_root
 
 CRLF = "\r\n"
 #: The alphabet of base32 (RFC 4648), and Spark's digits of a number to the base 32.
@@ -21,7 +24,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 @dataclass(frozen=True)
 class Archive:
-    """headers: (id, header, http, digest) by record; payloads: (digest, payload) once for each payload."""
+    """headers: (id, header, http, digest) by record; payloads: (digest, payload) once for each payload, in buckets by digest."""
 
     headers: DataFrame
     payloads: DataFrame
@@ -39,12 +42,40 @@ def _uuid(text: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
+def _stored(payloads: DataFrame) -> DataFrame:
+    """payloads (digest, payload) written to the scratch folder in buckets by digest: joins by it don't move payloads again."""
+    spark = payloads.sparkSession
+    name = f"mizuhiki_warc_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    payloads.write.format("parquet").bucketBy(buckets, "digest").option("path", f"{scratch_root(spark)}/mizuhiki-warc-payloads-{name}").saveAsTable(name)
+    back = spark.table(name)
+    spark.sql(f"drop table {name}")  # an entry of the catalog; its files stay
+    return back
+
+
+def _line(name: str, value: Column) -> Column:
+    """A header line; none if the value is null. Percent signs and line ends are written as percent codes."""
+    coded = value
+    for c, code in (("%", "%25"), ("\r", "%0D"), ("\n", "%0A")):
+        coded = F.replace(coded, F.lit(c), F.lit(code))
+    return F.coalesce(F.concat(F.lit(f"{name}: "), coded, F.lit(CRLF)), F.lit(""))
+
+
+def header_field(name: str) -> Column:
+    """The value of a field of `header`; null if the record lacks it."""
+    value = F.regexp_extract("header", rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
+    for c, code in (("\n", "%0A"), ("\r", "%0D"), ("%", "%25")):
+        value = F.replace(value, F.lit(code), F.lit(c))
+    return F.when(F.col("header").contains(f"{CRLF}{name}: "), value)
+
+
 def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> Archive:
     """Writes the two tables of the archive to the scratch folder.
 
     Of records whose payloads are equal and of at least min_bytes, that with the least id is a response and the others
     revisit it. The SHA-256 of a payload is its address; it is verified against a second digest (equal addresses must
     have equal lengths and XXH64) before the archive is handed out, and again with the bytes whenever they are read.
+    Payloads are shuffled once, after equal ones of a task have become one; all else moves rows of some 200 bytes.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
@@ -52,37 +83,33 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     keys = materialize(rows.select("id", "url", "digest", *marks).withColumn("uid", F.monotonically_increasing_id()), "warc-keys")
     by = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("uid").alias("uid"))
     same = (F.min("bytes") == F.max("bytes")) & (F.min("check") == F.max("check"))
-    firsts = materialize(keys.groupBy("digest").agg(F.min(by).alias("first"), same.alias("same")), "warc-firsts")
+    firsts = materialize(keys.groupBy("digest").agg(F.min(by).alias("first"), same.alias("same"), F.count("*").alias("n")), "warc-firsts")
     if not firsts.filter("not same").isEmpty():
         raise ValueError("different payloads have the same SHA-256")
-    store = materialize(rows.groupBy("digest").agg(F.first("payload").alias("payload")), "warc-payloads")
-    joined = keys.join(firsts.select("digest", "first"), "digest")
+    store = _stored(rows.groupBy("digest").agg(F.first("payload").alias("payload")))
+    joined = look_up(keys, firsts.drop("same"), ["digest"])
     revisit = (F.col("bytes") >= min_bytes) & (F.col("uid") != F.col("first.uid"))
-    number = F.coalesce(F.col("id").cast("string"), F.lit(""))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
-    record = lambda i, u: _uuid(F.concat_ws(":", F.lit("record"), F.coalesce(i.cast("string"), F.lit("")), u.cast("string")))
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
-    plain_url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    record = lambda u: _uuid(F.concat_ws(":", F.lit("record"), u.cast("string")))
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
-        line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", record(F.col("id"), F.col("uid"))),
-        F.coalesce(line("WARC-Target-URI", plain_url), F.lit("")),
-        line("WARC-Date", F.lit(date)),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        F.when(revisit, F.concat(line("WARC-Refers-To", record(F.col("first.id"), F.col("first.uid"))), line("WARC-Profile", F.lit(PROFILE)), line("X-Refers-To-Page", F.coalesce(F.col("first.id").cast("string"), F.lit(""))))).otherwise(F.lit("")),
-        line("X-Page", number),
-        line("Content-Type", F.lit("application/http; msgtype=response")),
-        line("Content-Length", (F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("bytes"))).cast("string")),
+        _line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
+        _line("WARC-Record-ID", record(F.col("uid"))),
+        _line("WARC-Target-URI", F.col("url")),
+        _line("WARC-Date", F.lit(date)),
+        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
+        _line("WARC-Refers-To", F.when(revisit, record(F.col("first.uid")))),
+        _line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
+        _line("X-Refers-To-Page", F.when(revisit, F.col("first.id").cast("string"))),
+        _line("X-Page", F.col("id").cast("string")),
+        _line("Content-Type", F.lit("application/http; msgtype=response")),
+        _line("Content-Length", (F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("bytes"))).cast("string")),
         F.lit(CRLF),
     )
-    return Archive(materialize(joined.select("id", header.alias("header"), http.alias("http"), "digest"), "warc-headers"), store)
-
-
-def header_field(name: str) -> Column:
-    """The value of a field of `header`; null if the record lacks it."""
-    found = F.regexp_extract("header", rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
-    return F.when(F.col("header").contains(f"{CRLF}{name}: "), found)
+    headers = materialize(joined.select("id", header.alias("header"), http.alias("http"), "digest"), "warc-headers")
+    discard(keys)
+    discard(firsts)
+    return Archive(headers, store)
 
 
 def verified(payloads: DataFrame) -> DataFrame:
@@ -92,36 +119,56 @@ def verified(payloads: DataFrame) -> DataFrame:
 
 
 def reconstruct(kept: Archive) -> DataFrame:
-    """(id, record, payload): the bytes of each WARC record as it was written, and its full payload."""
-    joined = kept.headers.join(verified(kept.payloads), "digest")
-    body = F.when(header_field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    record = F.concat(F.encode("header", "utf-8"), F.encode("http", "utf-8"), body, F.lit((CRLF * 2).encode()))
-    return joined.select("id", record.alias("record"), "payload")
+    """(id, digest, record): the bytes of each WARC record as it was written; digest is the address of its payload.
+
+    A response gets its payload by a join on the digest, to which the store's buckets stay in place and only headers move:
+    one response a payload, but for those below min_bytes. A revisit has no payload in its record and needs no join.
+    """
+    record = lambda body: F.concat(F.encode("header", "utf-8"), F.encode("http", "utf-8"), body, F.lit((CRLF * 2).encode()))
+    response = header_field("WARC-Type") == "response"
+    full = verified(kept.payloads).join(kept.headers.filter(response).hint("shuffle_hash"), "digest")
+    empty = kept.headers.filter(~response).select("id", "digest", record(F.lit(b"")).alias("record"))
+    return full.select("id", "digest", record(F.col("payload")).alias("record")).unionByName(empty)
 
 
 def read_back(kept: Archive) -> DataFrame:
     """(header, payload_bytes, payload_digest) read from the bytes of each reconstructed record.
 
-    An error if a record's Content-Length, its WARC-Payload-Digest or the payload inside a response isn't what its bytes say.
+    Length and digest of a response are those of the body inside; those of a revisit are of the body inside the response
+    whose record id it names. An error if a record's Content-Length, its payload digest or its HTTP length isn't what
+    bodies say, or if a revisit names no response.
     """
     text = F.col("record").cast("string")  # the same bytes
     ends = [(F.octet_length(F.substring_index(text, CRLF * 2, n)) + 4).alias(f"end{n}") for n in (1, 2)]
     header = F.concat(F.substring_index(text, CRLF * 2, 1), F.lit(CRLF)).alias("header")
-    rows = reconstruct(kept).select("record", "payload", header, *ends, base32_sha1(F.col("payload")).alias("payload_digest"))
     size = F.octet_length("record") - 4
-    inside = F.col("record").substr(F.col("end2") + 1, size - F.col("end2"))
-    fits = (header_field("Content-Length").cast("long") == size - F.col("end1")) & (header_field("WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest")))
-    fits = fits & (inside == F.when(header_field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b"")))
-    digest = F.when(F.coalesce(fits, F.lit(False)), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged record "), F.col("header"))).cast("string"))
-    return rows.select("header", F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"))
+    http = F.col("record").substr(F.col("end1") + 1, F.col("end2") - F.col("end1")).cast("string")
+    said = F.regexp_extract(http, r"\r\nContent-Length: (\d+)\r\n", 1).try_cast("long")
+    rows = reconstruct(kept).select("record", header, *ends)
+    rows = rows.select("header", "end1", "end2", size.alias("size"), said.alias("said"), F.col("record").substr(F.col("end2") + 1, size - F.col("end2")).alias("body"))
+    response = header_field("WARC-Type") == "response"
+    rows = rows.select(
+        "header", "said", response.alias("response"), F.substring(header_field("WARC-Payload-Digest"), 6, 32).alias("named"), header_field("WARC-Refers-To").alias("refers"),
+        F.coalesce(header_field("Content-Length").try_cast("long") == F.col("size") - F.col("end1"), F.lit(False)).alias("fits"),
+        F.octet_length("body").cast("long").alias("payload_bytes"), F.when(response, base32_sha1(F.col("body"))).alias("payload_digest"),
+    )
+    read = materialize(rows, "warc-read")
+    whole = read.filter("response").withColumn("whole", F.col("fits"))
+    times = read.filter("not response").groupBy("refers").agg(F.count("*").alias("n"))
+    named = whole.select(header_field("WARC-Record-ID").alias("refers"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d")).join(times, "refers")
+    revisits = look_up(read.filter("not response"), materialize(named, "warc-named"), ["refers"], how="left")
+    revisits = revisits.withColumn("whole", F.col("fits") & (F.col("payload_bytes") == 0)).withColumns({"payload_bytes": F.col("b"), "payload_digest": F.col("d")})
+    both = whole.unionByName(revisits.drop("b", "d"))
+    right = F.col("whole") & (F.col("named") == F.col("payload_digest")) & (F.col("said") == F.col("payload_bytes"))
+    digest = F.when(F.coalesce(right, F.lit(False)), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("damaged record "), F.col("header"))).cast("string"))
+    return both.select("header", "payload_bytes", digest.alias("payload_digest"))
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
-    kept = archive(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    read = read_back(kept)
-    number = lambda name: F.nullif(header_field(name), F.lit("")).cast("long")
-    refers = number("X-Refers-To-Page")
-    return read.select(number("X-Page").alias("page_id"), "payload_bytes", "payload_digest", header_field("WARC-Type").alias("record_type"), refers.alias("refers_to"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    read = read_back(archive(pages))
+    number = lambda name: header_field(name).cast(pages.schema["page_id"].dataType)
+    return read.select(number("X-Page").alias("page_id"), "payload_bytes", "payload_digest", header_field("WARC-Type").alias("record_type"), number("X-Refers-To-Page").alias("refers_to"))
 
 
 OP9_SQL = f"""

@@ -345,8 +345,13 @@ def test_warc(spark, table):
     for r in warc.reconstruct(kept).collect():
         head, _, rest = bytes(r["record"]).partition(b"\r\n\r\n")
         size = int(re.search(rb"Content-Length: (\d+)", head)[1])
-        assert len(rest) == size + 4 and rest.endswith(b"\r\n\r\n") and bytes(r["payload"]).decode() == html[r["id"]]
-        assert (b"WARC-Type: revisit" in head) == (len(r["payload"]) >= 5 and r["id"] not in first.values()) or r["id"] == 9
+        http, _, body = rest[:-4].partition(b"\r\n\r\n")
+        assert len(rest) == size + 4 and rest.endswith(b"\r\n\r\n") and r["digest"] == hashlib.sha256(html[r["id"]].encode()).hexdigest()
+        revisit = b"WARC-Type: revisit" in head
+        assert revisit == (len(html[r["id"]].encode()) >= 5 and r["id"] not in first.values()) or r["id"] == 9
+        assert body.decode() == ("" if revisit else html[r["id"]]) and int(re.search(rb"Content-Length: (\d+)", http)[1]) == len(html[r["id"]].encode())
+    plan = warc.reconstruct(kept)._jdf.queryExecution().toString()
+    assert "Bucketed: true" in plan
     assert warc.archive(spark.createDataFrame([], schema)).headers.count() == 0
 
 
