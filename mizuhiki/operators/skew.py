@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A key is frequent if it has more than one in so many of all rows; so there are fewer frequent keys than this.
@@ -31,3 +31,19 @@ def look_up(rows: DataFrame, table: DataFrame, keys: Sequence[str], count: str =
     hot = marked.filter("_often").select(*rows.columns, *given)
     rest = marked.filter("_often is null").select(*rows.columns)
     return hot.unionByName(rest.join(table.filter(~often).drop(count), list(keys), how).select(*rows.columns, *given))
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, table_key: str, by: Column, count: str = "n") -> DataFrame:
+    """rows joined with table where rows.key is table.table_key (null-safe); for wide rows, which are read only once.
+
+    table has one row for each key, and in `count` its number of rows. Its rows of frequent keys are repeated for salts, and
+    rows of these keys are dealt over the salts by a hash of `by` (an id, say), so that a task gets some one row in SHARE of
+    one key. What is broadcast is the number of salts of frequent keys, fewer than SHARE of them. Columns: those of rows and of table.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    salts = F.ceil(F.col(count) * SHARE / F.lit(max(1, total))).cast("int")
+    often = table.filter(F.col(count) * SHARE > total).select(F.col(table_key).alias("_often"), salts.alias("_salts"))
+    dealt = rows.join(F.broadcast(often), F.col(key).eqNullSafe(F.col("_often")), "left")
+    dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_often", "_salts")
+    many = table.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))
+    return dealt.join(many, F.col(key).eqNullSafe(F.col(table_key)) & (F.col("_salt") == F.col("_copy"))).drop("_salt", "_copy")
