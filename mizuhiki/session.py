@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,20 +39,47 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{_LOCAL['dir']}"
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the scratch folder, below one folder for each application, which can go when the application ends."""
+    path = f"{scratch_root(spark)}/mizuhiki-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the scratch folder and read it back: lineage ends there, and lost executors cost only a reread."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/mizuhiki-{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._mizuhiki_path = path
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what materialize() wrote for df; only once nothing reads it any more."""
     path = getattr(df, "_mizuhiki_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+_WRITTEN: list[list[str]] = []
+
+
+def materialize_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """make(), written as by materialize(); all else that was written to the scratch folder meanwhile is deleted."""
+    _WRITTEN.append([])
+    try:
+        back = materialize(make(), label)
+    finally:
+        paths = _WRITTEN.pop()
+    for path in paths:
+        if path != back._mizuhiki_path:
+            _delete(spark, path)
+    return back
