@@ -12,7 +12,7 @@ from .bpe import op7_bpe
 from .chat import OP2_SQL, op2_chat
 from .langid import op1_langid
 from .mixing import OP6_SQL, op6_mixing
-from .quality import op10_quality
+from .quality import OP10_SQL, op10_quality
 from .sharding import op3_kdtree
 from .simhash import op5_simhash
 from .urlfilter import OP4_SQL, op4_urls
@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2_SQL, "op4_urls": OP4_SQL, "op6_mixing": OP6_SQL, "op9_warc": OP9_SQL}
+    return {"op2_chat": OP2_SQL, "op4_urls": OP4_SQL, "op6_mixing": OP6_SQL, "op9_warc": OP9_SQL, "op10_quality": OP10_SQL}
