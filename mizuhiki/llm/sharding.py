@@ -1,134 +1,193 @@
 """Sharding by a k-d tree over metadata: nodes split at distributed weighted medians along their widest dimension.
 
-Weights are bytes: of the text in UTF-8 (null: none) plus a fixed overhead a row. Null metadata sort first, as the
-least value of their dimension. Ties, repeated rows among them, are told apart by a row number that is written once,
-so every split can fall between any two rows. Extra columns are ignored. An empty table gives an empty result.
+Weights are bytes: of the text in UTF-8 (null: none; of any length) plus a fixed overhead a row. Null metadata sort first,
+one below the least value of their dimension. Ties, repeated rows among them, are told apart by a number that is written
+once, so every split can fall between any two rows. Extra columns are ignored, whatever their names. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import discard, materialize
 
 OVERHEAD = 8
-#: Bins for each node in a histogram pass, and rows in a run of slots: what one task or the driver holds at most.
-BINS, RUN = 4096, 100_000
-#: A cut may miss its aim by this part of a leaf's bytes, at most.
-TOLERANCE = 0.001
-
-
-@dataclass
-class _Node:
-    """A node of the tree under construction: its leaves are `first` to `first + leaves - 1`."""
-
-    first: int
-    leaves: int
-    dim: int = -1
-    low: int = 0  # the cut lies in [low, high): rows with keys below it go left
-    high: int = 0
-    aim: float = 0.0  # bytes that are to go left
-    below: float = 0.0  # bytes known to be below low
-    cut: int | None = None
-    spans: list[tuple[float, float]] = field(default_factory=list)
-
-
-def _chain(nodes: Sequence[_Node], value) -> Column:
-    """value(node) of the node that a row is in."""
-    out = F.lit(None)
-    for n in nodes:
-        out = F.when(F.col("node") == n.first, value(n)).otherwise(out)
-    return out
+#: Bins for each node in a histogram pass; a bin with so few rows is sorted instead; rows of a node that one task finishes;
+#: rows in a run of slots. What a task holds at most, and nothing of it reaches the driver.
+BINS, FEW, LOCAL, RUN = 4096, 20_000, 50_000, 100_000
+#: Tables with a row for each node are broadcast up to so many nodes (some 10 MB).
+MAX_BROADCAST = 50_000
+MIN_LONG = -(1 << 63)
+
+
+def _nodes_joined(rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """Many nodes are shuffled: as nodes of one level weigh nearly the same, none has many of all rows by then."""
+    return rows.join(F.broadcast(nodes) if n <= MAX_BROADCAST else nodes, "node")
+
 
+def _widest(dims: int, spans: Sequence[float]) -> Column:
+    """The dimension in which a node's part of the whole span is greatest; the first of equals."""
+    extent = lambda d: (F.col(f"max{d}").cast("double") - F.col(f"min{d}").cast("double")) / F.lit(max(spans[d], 1.0))
+    return -F.array_max(F.array(*(F.struct(extent(d).alias("w"), F.lit(-d).alias("d")) for d in range(dims))))["d"]
 
-def _split_level(rows: DataFrame, nodes: list[_Node], dims: int, total: float, leaves: int) -> None:
-    """Sets the cut of each node: one pass for extents, then histogram passes that narrow all cuts at once."""
-    stats = rows.groupBy("node").agg(F.sum("size").alias("bytes"), *(f(F.col("key")[d]).alias(f"{n}{d}") for d in range(dims) for n, f in (("min", F.min), ("max", F.max))))
-    by = {x["node"]: x for x in stats.collect()}
-    for n in nodes:
-        x = by.get(n.first)
-        if x is None:
-            n.cut, n.dim = 0, 0
+
+def _cuts(rows: DataFrame, stats: DataFrame, dims: int, spans: Sequence[float], bins: int, few: int) -> DataFrame:
+    """(node, leaves, dim, value, tie): the last row that goes left, of each node of stats.
+
+    A node's rows are ordered by its widest dimension, then tie. Its lower leaves // 2 leaves are to have their part of its
+    bytes, so the cut is at one end, the nearer one, of the first row with which the sum reaches that. Histogram passes
+    narrow the range of rows that this row may be in, for all nodes at once, until it has few rows; these are sorted.
+    """
+    pick = lambda name, dim: F.element_at(F.array(*(F.col(f"{name}{d}") for d in range(dims))), dim + 1)
+    dim = _widest(dims, spans)
+    aim = F.col("bytes").cast("double") * F.floor(F.col("leaves") / 2) / F.col("leaves")
+    state = stats.select("node", "leaves", dim.alias("dim"), pick("min", dim).alias("low"), pick("max", dim).alias("high"), F.lit(0).cast("long").alias("tlow"), F.lit((1 << 63) - 1).alias("thigh"), F.col("n").alias("left"), F.lit(0).cast("long").alias("below"), aim.alias("aim"))
+    state = materialize(state, "shard-cuts")
+    inside = (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")) & ((F.col("low") < F.col("high")) | (F.col("tie") >= F.col("tlow")) & (F.col("tie") <= F.col("thigh")))
+    nodes = state.count()
+
+    def candidates(of: DataFrame) -> DataFrame:
+        joined = _nodes_joined(rows.drop("leaves"), of, nodes).withColumn("v", F.element_at("at", F.col("dim") + 1))
+        return joined.filter(inside)
+
+    at_end = state.filter(F.col("left") <= few)
+    wide = state.filter(F.col("left") > few)
+    parts = []
+    while True:
+        parts.append(at_end)
+        if wide.isEmpty():
+            break
+        # bins by any function that never decreases will do: doubles, but whole numbers where a difference has few bits
+        tied = F.col("low") == F.col("high")
+        x, a, b = (F.when(tied, F.col(t)).otherwise(F.col(v)) for t, v in (("tie", "v"), ("tlow", "low"), ("thigh", "high")))
+        span = b.cast("double") - a.cast("double")
+        narrow = span < float(1 << 52)
+        step = F.when(narrow, F.floor(span / bins) + 1).otherwise(span / bins)
+        offset = F.when(narrow, (F.greatest(x, a) - F.when(narrow, a).otherwise(0)).cast("double")).otherwise(x.cast("double") - a.cast("double"))
+        binned = candidates(wide).select(*state.columns, F.floor(offset / step).cast("long").alias("bin"), "v", "tie", "size")
+        sums = binned.groupBy(*state.columns, "bin").agg(F.sum("size").alias("bytes"), F.count("*").alias("k"), *(f(c).alias(f"{n}{c}") for c in ("v", "tie") for n, f in (("min", F.min), ("max", F.max))))
+        upto = F.sum("bytes").over(Window.partitionBy("node").orderBy("bin")) + F.col("below")
+        last = F.max("bin").over(Window.partitionBy("node")) == F.col("bin")
+        found = sums.withColumns({"upto": upto, "last": last}).filter((F.col("upto") >= F.col("aim")) | F.col("last"))
+        found = found.withColumn("no", F.row_number().over(Window.partitionBy("node").orderBy("bin"))).filter("no = 1")
+        now = found.select("node", "leaves", "dim", F.col("minv").alias("low"), F.col("maxv").alias("high"), F.col("mintie").alias("tlow"), F.col("maxtie").alias("thigh"), F.col("k").alias("left"), (F.col("upto") - F.col("bytes")).alias("below"), "aim")
+        now = materialize(now, "shard-cuts")
+        done = (F.col("left") <= few) | (F.col("low") == F.col("high")) & (F.col("tlow") == F.col("thigh"))
+        at_end, wide = now.filter(done), now.filter(~done)
+    final = parts[0]
+    for p in parts[1:]:
+        final = final.unionByName(p)
+    order = Window.partitionBy("node").orderBy("v", "tie")
+    sums = candidates(final).withColumns({"upto": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("below")})
+    # of rows that are wholly left of where the sum reaches the aim, and of the next one if it's nearer with it, the last
+    goes = (F.col("upto") <= F.col("aim")) | (F.col("upto") - F.col("aim") < F.col("aim") - (F.col("upto") - F.col("size")))
+    cut = F.max(F.when(goes, F.struct("v", "tie")))
+    # none goes left: the cut is just before the first one
+    first = F.min(F.struct("v", (F.col("tie") - 1).alias("tie")))
+    return sums.groupBy("node", "leaves", "dim").agg(F.coalesce(cut, first).alias("c")).select("node", "leaves", "dim", "c.v", F.col("c.tie").alias("cut_tie")).withColumnRenamed("v", "cut")
+
+
+def split_here(values: np.ndarray, tie: np.ndarray, size: np.ndarray, first: int, leaves: int, spans: Sequence[float]) -> np.ndarray:
+    """The leaf of each row of a node, by the same rule as `_cuts`; values: a column for each dimension."""
+    out = np.empty(len(size), np.int64)
+    todo = [(np.arange(len(size)), first, leaves)]
+    while todo:
+        rows, first, leaves = todo.pop()
+        if leaves == 1 or not len(rows):
+            out[rows] = first
             continue
-        extent = [(x[f"max{d}"] >> 31) - (x[f"min{d}"] >> 31) for d in range(dims)]
-        widths = [e / max(1, n.spans[d][1] - n.spans[d][0]) if n.spans else float(e) for d, e in enumerate(extent)]
-        n.dim = max(range(dims), key=lambda d: (widths[d], -d))
-        n.low, n.high = x[f"min{n.dim}"], x[f"max{n.dim}"] + 1
-        n.aim = float(x["bytes"]) * (n.leaves // 2) / n.leaves
-    slack = TOLERANCE * total / leaves
-    while open_nodes := [n for n in nodes if n.cut is None]:
-        key = F.get(F.col("key"), _chain(open_nodes, lambda n: F.lit(n.dim)))
-        low = _chain(open_nodes, lambda n: F.lit(n.low).cast("long"))
-        step = _chain(open_nodes, lambda n: F.lit(max(1, -(-(n.high - n.low) // BINS))).cast("long"))
-        binned = rows.filter(F.col("node").isin([n.first for n in open_nodes])).select("node", "size", key.alias("k"), low.alias("low"), step.alias("step"), _chain(open_nodes, lambda n: F.lit(n.high).cast("long")).alias("high"))
-        binned = binned.filter("k >= low and k < high").groupBy("node", F.floor((F.col("k") - F.col("low")) / F.col("step")).cast("long").alias("bin")).agg(F.sum("size").alias("bytes"))
-        bins: dict[int, list[tuple[int, float]]] = {}
-        for x in binned.collect():  # BINS rows for each node at most
-            bins.setdefault(x["node"], []).append((x["bin"], float(x["bytes"])))
-        for n in open_nodes:
-            step_n, sum_now, start, at = max(1, -(-(n.high - n.low) // BINS)), n.below, n.low, None
-            for b, weight in sorted(bins.get(n.first, [])):
-                if sum_now + weight >= n.aim:
-                    at = b, weight
-                    break
-                sum_now += weight
-            if at is None:
-                n.cut = n.high
-                continue
-            b, weight = at
-            start = n.low + b * step_n
-            if step_n == 1 or weight <= slack:
-                n.cut = start if n.aim - sum_now <= sum_now + weight - n.aim else start + step_n
-            else:
-                n.low, n.high, n.below = start, min(n.high, start + step_n), sum_now
-
-
-def kd_shards(docs: DataFrame, dimensions: Sequence[Column], shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        at = values[rows]
+        extent = (at.max(axis=0).astype(float) - at.min(axis=0).astype(float)) / np.maximum(spans, 1.0)
+        order = np.lexsort((tie[rows], at[:, int(np.argmax(extent))]))
+        sums = np.cumsum(size[rows][order])
+        aim = float(sums[-1]) * (leaves // 2) / leaves
+        k = int(np.searchsorted(sums, aim, "right"))
+        if k < len(rows) and sums[k] - aim < aim - (sums[k] - size[rows[order[k]]]):
+            k += 1
+        half = leaves // 2
+        todo += [(rows[order[:k]], first, half), (rows[order[k:]], first + half, leaves - half)]
+    return out
+
+
+def _finish(rows: DataFrame, dims: int, spans: Sequence[float]) -> DataFrame:
+    """Whole subtrees of nodes that fit in a task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        flat = table.column("at").combine_chunks()
+        values = flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        tie, size = (table.column(c).to_numpy() for c in ("tie", "size"))
+        leaf = split_here(values, tie, size, table.column("node")[0].as_py(), table.column("leaves")[0].as_py(), spans)
+        return table.select(["id", "size", "text_crc32", "uid"]).append_column("shard", pa.array(leaf, pa.int64()))
+
+    fields = T.StructType([rows.schema[c] for c in ("id", "size", "text_crc32", "uid")] + [T.StructField("shard", T.LongType())])
+    return rows.groupBy("node").applyInArrow(run, fields)
+
+
+def kd_shards(docs: DataFrame, dimensions: Sequence[Column], shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", bins: int = BINS, few: int = FEW, local: int = LOCAL) -> DataFrame:
     """(id_col, size, text_crc32, shard, slot): shards of nearly equal bytes, rows alike in their metadata together.
 
-    dimensions: columns that can be cast to long; nulls count as 0. Each is counted from its minimum over docs, and if that
-    takes more than 31 bits, without its lowest ones. A node of m leaves is cut where its lower m // 2 leaves have their
-    part of its bytes; with target_bytes, there are as many leaves as that takes. Each level takes a pass for the
-    extents and a few histogram passes over (node, key, size) rows; the driver sees no more than BINS bins for a node.
+    dimensions: columns that can be cast to long, of any range. A node of m leaves is cut where its lower m // 2 leaves have
+    their part of its bytes; with target_bytes, there are as many leaves as that takes. A level takes a pass for the extents
+    of its nodes, a few histogram passes that narrow all their cuts at once, and one that deals rows out again; only
+    (node, values, tie, size) rows of nodes that are still open move. Nodes of at most `local` rows are finished whole, each by
+    one task: the same tree, without further passes. The driver counts nodes and sees none of their bins or cuts.
     Slots number a shard's rows from 0 without gaps, in runs of some RUN rows that are numbered apart.
     """
     if (shards is None) == (target_bytes is None):
         raise ValueError("give either shards or target_bytes")
-    text = F.col(text_col)
+    if not dimensions:
+        raise ValueError("give a dimension at least")
+    text, dims = F.col(text_col), len(dimensions)
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
-    base = docs.select(F.col(id_col), size.alias("size"), F.crc32(F.coalesce(text, F.lit(""))).cast("long").alias("text_crc32"), *(F.coalesce(c.cast("long"), F.lit(0).cast("long")).alias(f"d{i}") for i, c in enumerate(dimensions)))
-    ends = base.agg(*(f(f"d{i}") for i in range(len(dimensions)) for f in (F.min, F.max))).first()
-    values = []
-    for i in range(len(dimensions)):
-        low, high = ends[2 * i] or 0, ends[2 * i + 1] or 0
-        shift = max(0, (high - low).bit_length() - 31)
-        if (high >> shift) - (low >> shift) >= 1 << 31:
-            shift += 1
-        values.append(F.shiftright(f"d{i}", shift) - F.lit(low >> shift).cast("long"))
-    base = base.withColumn("uid", F.monotonically_increasing_id())
-    # a key: the value in the upper 32 bits, below them a number that no two rows are likely to share
-    tie = F.shiftrightunsigned(F.xxhash64("uid"), 33)
-    base = base.select(id_col, "size", "text_crc32", "uid", F.array(*(F.shiftleft(v, 31).bitwiseOR(tie) for v in values)).alias("key"))
-    rows = materialize(base.withColumn("node", F.lit(0)), "shard-keys")
-    total = float(rows.agg(F.sum("size")).first()[0] or 0)
-    leaves = shards if shards is not None else max(1, -(-int(total) // target_bytes))
-    spans = rows.agg(*(f(F.col("key")[d]) for d in range(len(dimensions)) for f in (F.min, F.max))).first()
-    span = [((spans[2 * d] or 0) >> 31, (spans[2 * d + 1] or 0) >> 31) for d in range(len(dimensions))]
-    level = [_Node(0, leaves, spans=span)]
-    while nodes := [n for n in level if n.leaves > 1]:
-        _split_level(rows, nodes, len(dimensions), total, leaves)
-        key = F.get(F.col("key"), _chain(nodes, lambda n: F.lit(n.dim)))
-        moved = _chain(nodes, lambda n: F.when(key >= F.lit(n.cut).cast("long"), F.lit(n.first + n.leaves // 2)))
-        after = materialize(rows.withColumn("node", F.coalesce(moved, F.col("node"))), "shard-keys")
-        discard(rows)
-        rows = after
-        level = [c for n in level for c in ([n] if n.leaves == 1 else [_Node(n.first, n.leaves // 2, spans=span), _Node(n.first + n.leaves // 2, n.leaves - n.leaves // 2, spans=span)])]
-    return _slots(rows.select(id_col, "size", "text_crc32", F.col("node").alias("shard"), "uid"))
+    base = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.crc32(F.coalesce(text, F.lit(""))).cast("long").alias("text_crc32"), F.array(*(c.cast("long") for c in dimensions)).alias("at"))
+    base = materialize(base.withColumn("uid", F.monotonically_increasing_id()), "shard-rows")
+    ends = base.agg(F.sum("size"), *(f(F.col("at")[d]) for d in range(dims) for f in (F.min, F.max, lambda c: F.max(c.isNull())))).first()
+    total, none, spans = int(ends[0] or 0), [], []
+    for d in range(dims):
+        low, high, holes = ends[1 + 3 * d : 4 + 3 * d]
+        low, high = (0, 0) if low is None else (low, high)
+        none.append(max(low - 1, MIN_LONG))
+        spans.append(float(high) - float(none[d] if holes else low))
+    leaves = shards if shards is not None else max(1, -(-total // target_bytes))
+    filled = F.transform("at", lambda x, i: F.coalesce(x, F.element_at(F.array(*(F.lit(v).cast("long") for v in none)), i + 1)))
+    tie = F.shiftrightunsigned(F.xxhash64("uid"), 1)  # 63 bits
+    rows = base.select("id", "size", "text_crc32", "uid", filled.alias("at"), tie.alias("tie"), F.lit(0).cast("long").alias("node"), F.lit(leaves).cast("long").alias("leaves"))
+    parts, written = [], []
+    while True:
+        extents = [f(F.col("at")[d]).alias(f"{n}{d}") for d in range(dims) for n, f in (("min", F.min), ("max", F.max))]
+        stats = materialize(rows.groupBy("node", "leaves").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), *extents), "shard-nodes")
+        small = (F.col("n") <= local) | (F.col("leaves") == 1)
+        n = stats.count()
+        ready = _nodes_joined(rows, stats.filter(small).select("node"), n)
+        one, several = ready.filter("leaves = 1"), ready.filter("leaves > 1")
+        parts.append(one.select("id", "size", "text_crc32", "uid", F.col("node").alias("shard")))
+        parts.append(_finish(several, dims, spans))
+        big = stats.filter(~small)
+        n = big.count()
+        if n == 0:
+            break
+        cuts = materialize(_cuts(rows, big, dims, spans, bins, few), "shard-cuts")
+        joined = _nodes_joined(rows.drop("leaves"), cuts, n)
+        v, half = F.element_at("at", F.col("dim") + 1), F.floor(F.col("leaves") / 2)
+        right = (v > F.col("cut")) | (v == F.col("cut")) & (F.col("tie") > F.col("cut_tie"))
+        moved = joined.select("id", "size", "text_crc32", "uid", "at", "tie", F.when(right, F.col("node") + half).otherwise(F.col("node")).alias("node"), F.when(right, F.col("leaves") - half).otherwise(half).alias("leaves"))
+        rows = materialize(moved, "shard-rows")
+        written.append(rows)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    out = materialize(out, "shards")
+    for x in (base, *written):
+        discard(x)
+    return _slots(out).withColumnRenamed("id", id_col)
 
 
 def _slots(rows: DataFrame) -> DataFrame:
@@ -137,8 +196,8 @@ def _slots(rows: DataFrame) -> DataFrame:
     sizes = rows.groupBy("shard", "run").agg(F.count("*").alias("n"))
     # a row for each run: what a shard's window orders is RUN times fewer than its rows
     starts = sizes.withColumn("start", F.sum("n").over(Window.partitionBy("shard").orderBy("run")) - F.col("n")).drop("n")
-    numbered = rows.withColumn("at", F.row_number().over(Window.partitionBy("shard", "run").orderBy("uid")) - 1)
-    return numbered.join(starts, ["shard", "run"]).withColumn("slot", (F.col("start") + F.col("at")).cast("long")).drop("run", "uid", "start", "at")
+    numbered = rows.withColumn("row", F.row_number().over(Window.partitionBy("shard", "run").orderBy("uid")) - 1)
+    return numbered.join(starts, ["shard", "run"]).withColumn("slot", (F.col("start") + F.col("row")).cast("long")).drop("run", "uid", "start", "row")
 
 
 def op3_kdtree(spark, sf_dir: str) -> DataFrame:
