@@ -2,7 +2,7 @@
 
 Null texts and roles are empty; null scores count as 0. A parent that doesn't exist makes its child a root. Nodes on a
 cycle reach no root and are left out. Ties between branches go to the deeper one, then to the leaf that sorts first.
-Extra columns are ignored. An empty table gives an empty result.
+Very long texts are kept whole. Extra columns are ignored, whatever their names. An empty table gives an empty result.
 
 The template is `<|im_start|>role\\ntext<|im_end|>\\n` for each turn. Inside roles and texts `&` and `<` are written as
 `&amp;` and `&lt;`, and a line feed of a role as `&#10;`; so no control string can occur there, and reading reverses it.
@@ -27,15 +27,20 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&#10;"), F.lit("\n")), F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
 
 
-def paths(nodes: DataFrame, top: int = 1) -> DataFrame:
+def paths(nodes: DataFrame, top: int = 1, unique: bool = False) -> DataFrame:
     """(tree, leaf, branch, depth, role, text): the turns of the `top` best branches of each tree; branch from 1.
 
-    nodes: tree, node, parent, role, text, score; (tree, node) is unique. A branch's score is the sum of its nodes'.
+    nodes: tree, node, parent, role, text, score. Of rows with the same tree and node, the least by parent, role, text and
+    score counts (nulls first); unique says that there are none, which saves a shuffle. A branch's score is the sum of its
+    nodes'. Null is a tree like any other.
     Pointers to ancestors double in length with every self-join, so a chain of n turns takes log n joins, and the same
     tables then unfold the chosen branches from their leaves: rows grow with turns, not with their squares.
     """
     key = lambda n: F.struct(F.col("tree"), F.col(n).alias("node"))
     base = nodes.select("tree", "node", key("node").alias("id"), F.when(F.col("parent").isNotNull(), key("parent")).alias("up"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    if not unique:
+        order = Window.partitionBy("id").orderBy("up", "role", "text", "score")
+        base = materialize(base.withColumn("_no", F.row_number().over(order)).filter("_no = 1").drop("_no"), "nodes")
     links = base.select("id", "up", "score")
     known = links.select(F.col("id").alias("_up"))
     links = links.join(known, F.col("up") == F.col("_up"), "left").select("id", F.when(F.col("_up").isNotNull(), F.col("up")).alias("up"), F.lit(1).cast("long").alias("depth"), "score")
@@ -69,24 +74,26 @@ def paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     return chosen.join(turns, F.col("id") == F.col("_id")).select(F.col("leaf.tree").alias("tree"), F.col("leaf.node").alias("leaf"), "branch", "depth", "role", "text")
 
 
+LOSS = "array<struct<start:int,chars:int,at:int,bytes:int>>"
+
+
 def format_paths(turns: DataFrame, learn: str = "assistant") -> DataFrame:
     """(tree, leaf, branch, formatted, loss): one row for each path.
 
-    loss: spans (start, chars) of formatted, in code points from 0, of the texts of the role to learn from, in order.
-    A conversation is one string, so its turns meet in one task; it must fit there, as it must in the result.
+    loss: spans of formatted, the texts of the role to learn from, in order: start and chars in code points, at and bytes
+    in UTF-8, from 0. Where a turn begins is a running sum before the gather, by the same shuffle, so a path takes n log n
+    in its turns. A conversation is one string, so its turns meet in one task; it must fit there, as it must in the result.
     """
     head = F.concat(F.lit(START), F.replace(escape(F.col("role")), F.lit("\n"), F.lit("&#10;")), F.lit("\n"))
-    turn = F.struct("depth", F.length(head).alias("head"), F.length(escape(F.col("text"))).alias("body"), (F.col("role") == learn).alias("learn"), F.concat(head, escape(F.col("text")), F.lit(END)).alias("all"))
-    listed = turns.groupBy("tree", "leaf", "branch").agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    span = "struct<at:int,spans:array<struct<start:int,chars:int>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,chars:int>>").alias("spans")).cast(span)
-
-    def step(a: Column, x: Column) -> Column:
-        one = F.array(F.struct((a["at"] + x["head"]).alias("start"), x["body"].alias("chars")))
-        return F.struct((a["at"] + x["head"] + x["body"] + len(END)).alias("at"), F.when(x["learn"], F.concat(a["spans"], one)).otherwise(a["spans"]).alias("spans")).cast(span)
-
+    coded = turns.select("tree", "leaf", "branch", "depth", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == learn).alias("learn"))
+    before = Window.partitionBy("tree", "leaf", "branch").orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = [F.sum(size("head") + size("body") + len(END)).over(before) - size("body") - len(END) for size in (F.length, F.octet_length)]
+    placed = coded.select("*", ends[0].cast("int").alias("start"), ends[1].cast("int").alias("at"))
+    span = F.struct("start", F.length("body").alias("chars"), "at", F.octet_length("body").alias("bytes"))
+    turn = F.struct("depth", F.when(F.col("learn"), span).alias("span"), F.concat("head", "body", F.lit(END)).alias("all"))
+    listed = placed.groupBy("tree", "leaf", "branch").agg(F.sort_array(F.collect_list(turn)).alias("t"))
     formatted = F.concat_ws("", F.transform("t", lambda x: x["all"]))
-    return listed.select("tree", "leaf", "branch", formatted.alias("formatted"), F.aggregate("t", start, step, lambda a: a["spans"]).alias("loss"))
+    return listed.select("tree", "leaf", "branch", formatted.alias("formatted"), F.array_compact(F.transform("t", lambda x: x["span"])).cast(LOSS).alias("loss"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -97,8 +104,9 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, loss: Column) -> Column:
-    """All text under the loss mask."""
-    return F.concat_ws("", F.transform(loss, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["chars"]))))
+    """All text under the loss mask, by the bytes of its spans: places in code points would be looked for from the start each time."""
+    pieces = F.transform(F.array(formatted.cast("binary")), lambda b: F.transform(loss, lambda s: F.substring(b, s["at"] + 1, s["bytes"]).cast("string")))
+    return unescape(F.concat_ws("", pieces[0]))
 
 
 def op2_chat(spark, sf_dir: str) -> DataFrame:
@@ -109,7 +117,7 @@ def op2_chat(spark, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     nodes = rows.unionByName(probe).withColumn("node", F.row_number().over(order))
     nodes = nodes.select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
-    done = format_paths(paths(materialize(nodes, "turns")))
+    done = format_paths(paths(materialize(nodes, "turns"), unique=True))
     back = done.select(F.col("tree").alias("conv_id"), "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss")).alias("loss"))
     joined = F.concat_ws("", F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))))
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
