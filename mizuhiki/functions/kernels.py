@@ -105,19 +105,24 @@ def jaro_winkler(a: str, b: str) -> float:
     return j + prefix * 0.1 * (1 - j)
 
 
+#: Pairs that a worker remembers from batch to batch: names repeat far more often than they are new.
+_REMEMBERED = 1 << 18
+_known_pairs: dict[tuple[str, str], float] = {}
+
+
+def _remembered(pair: tuple[str, str]) -> float:
+    known = _known_pairs.get(pair)
+    if known is None:
+        if len(_known_pairs) >= _REMEMBERED:
+            _known_pairs.clear()
+        known = _known_pairs[pair] = jaro_winkler(*pair)
+    return known
+
+
 @F.arrow_udf(T.DoubleType())
 def jaro_winkler_udf(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Null if either side is; equal pairs of a batch are computed once."""
-    known: dict[tuple[str, str], float] = {}
-    out = []
-    for pair in zip(left.to_pylist(), right.to_pylist()):
-        if None in pair:
-            out.append(None)
-            continue
-        if pair not in known:
-            known[pair] = jaro_winkler(*pair)
-        out.append(known[pair])
-    return pa.array(out, pa.float64())
+    """Null if either side is; a worker computes equal pairs once, as long as it remembers them."""
+    return pa.array([None if None in pair else _remembered(pair) for pair in zip(left.to_pylist(), right.to_pylist())], pa.float64())
 
 
 def fixed(x: float, digits: int) -> str:
@@ -202,25 +207,19 @@ def web_url_udf(values: pa.Array) -> pa.Array:
 SNIFFED = 1024
 
 
+#: What a decoder meets, in order of preference: a Shift_JIS pair (with a two-byte UTF-8 pair right behind it, which is
+#: then counted too), a two-byte UTF-8 pair, or any byte. Three-byte UTF-8 looks like Shift_JIS; that is the source's rule.
+_PAIRS = re.compile(rb"(?P<sjis>[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc])(?P<next>[\xc0-\xdf][\x80-\xbf])?|(?P<utf8>[\xc0-\xdf][\x80-\xbf])|[\x00-\xff]")
+_MARKS = {b"\xef\xbb\xbf": "utf-8", b"\xff\xfe": "utf-16le"}
+
+
 def sniff_charset(head: bytes) -> str:
     """utf-8 or utf-16le by their marks; else shift_jis if its byte pairs outnumber two-byte UTF-8 and are over two."""
-    if head.startswith(b"\xef\xbb\xbf"):
-        return "utf-8"
-    if head.startswith(b"\xff\xfe"):
-        return "utf-16le"
-    head = head[:SNIFFED]
-    sjis = utf8 = i = 0
-    while i < len(head) - 1:
-        b, after = head[i], head[i + 1]
-        if (0x81 <= b <= 0x9F or 0xE0 <= b <= 0xFC) and (0x40 <= after <= 0x7E or 0x80 <= after <= 0xFC):
-            sjis += 1
-            i += 1
-            after = head[i + 1] if i + 1 < len(head) else 0
-        if b & 0xE0 == 0xC0 and after & 0xC0 == 0x80:
-            utf8 += 1
-            i += 1
-        i += 1
-    return "shift_jis" if sjis > utf8 and sjis > 2 else "utf-8"
+    for mark, charset in _MARKS.items():
+        if head.startswith(mark):
+            return charset
+    found = Counter(kind for m in _PAIRS.finditer(head[:SNIFFED]) for kind in ("sjis", "next", "utf8") if m[kind])
+    return "shift_jis" if found["sjis"] > max(2, found["next"] + found["utf8"]) else "utf-8"
 
 
 # --- Brands ---------------------------------------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,30 +51,40 @@ def clean_brackets(c: Column) -> Column:
     return F.regexp_replace(c, r"[（(]([^）)]+店)[）)]\z", "$1")
 
 
-def _unless_short(before: Column, after: Column) -> Column:
-    return F.when(F.length(after) >= 2, after).otherwise(before)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: columns that a chain of conditions repeats would double with each step, past what
+    generated code may hold. No UDF can be in body."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _unless_short(before: Column, change: Callable[[Column], Column]) -> Column:
+    """change(before) if two characters remain, else before."""
+    return let(before, lambda b: let(change(b), lambda a: F.when(F.length(a) >= 2, a).otherwise(b)))
 
 
 def strip_branch_suffix(c: Column) -> Column:
     """The name without its branch: fixed suffixes, then places; never down to a single character."""
-    trimmed = trim_ws(c)
-    s = clean_brackets(trimmed)
-    s = _unless_short(s, F.regexp_replace(s, _FIXED_SUFFIX, ""))
-    s = _unless_short(s, F.regexp_replace(s, _PLACE_SUFFIX, ""))
+    return let(trim_ws(c), lambda t: F.when(F.length(t) < 4, t).otherwise(let(_without_suffix(t), _without_place)))
+
+
+def _without_suffix(trimmed: Column) -> Column:
+    s = _unless_short(clean_brackets(trimmed), lambda x: F.regexp_replace(x, _FIXED_SUFFIX, ""))
+    return _unless_short(s, lambda x: F.regexp_replace(x, _PLACE_SUFFIX, ""))
+
+
+def _without_place(s: Column) -> Column:
     drop = lambda n: F.substring(s, F.lit(1), F.length(s) - n)
-    town = F.regexp_replace(s, r"[一-龠ァ-ヶー]{2,4}店\z", "")
-    placed = (
+    return (
         F.when(s.rlike(rf"(?s)^.{{2,}}(?:.[{_HINTS}]|丁目)店\z"), drop(3))
         .when(s.rlike(r"(?s)^.{2,}(?:モール|プラザ|パーク)店\z"), drop(4))
-        .otherwise(_unless_short(s, town))
+        .otherwise(_unless_short(s, lambda x: F.regexp_replace(x, r"[一-龠ァ-ヶー]{2,4}店\z", "")))
     )
-    return F.when(F.length(trimmed) < 4, trimmed).otherwise(placed)
 
 
 def normalize_name(c: Column, remove_business_words: bool = False) -> Column:
     s = strip_branch_suffix(strip_corporate_words(F.lower(nfkc(text_or_empty(c)))))
     s = remove_symbols(F.regexp_replace(s, rf"[{WS}・\-]+", ""))
-    s = _unless_short(s, F.regexp_replace(s, "本店|支店|号店|店|階|[Ff]", ""))
+    s = _unless_short(s, lambda x: F.regexp_replace(x, "本店|支店|号店|店|階|[Ff]", ""))
     if remove_business_words:
         s = F.regexp_replace(strip_business_words(s), rf"[{WS}]+", "")
     return trim_ws(s)
@@ -82,8 +92,7 @@ def normalize_name(c: Column, remove_business_words: bool = False) -> Column:
 
 def phone_digits(c: Column) -> Column:
     """ASCII digits if there are 10 or 11 of them, else empty."""
-    digits = F.regexp_replace(c, "[^0-9]", "")
-    return F.when(F.length(digits).isin(10, 11), digits).otherwise("")
+    return let(F.regexp_replace(c, "[^0-9]", ""), lambda digits: F.when(F.length(digits).isin(10, 11), digits).otherwise(""))
 
 
 def normalize_phone(c: Column, fold: bool = True) -> Column:
@@ -120,19 +129,26 @@ def normalize_url(c: Column) -> Column:
     """Native for plain http(s) URLs; Arrow batches of the others only."""
     s = trim_ws(text_or_empty(c))
     lowered = F.concat(F.lower(F.regexp_extract(s, r"^([A-Za-z]+)(?=://)", 1)), F.regexp_replace(s, r"^[A-Za-z]+(?=://)", ""))
-    plain = lowered.rlike(_PLAIN_URL) & ~lowered.rlike(r"(?i)%2e|^[a-z]+://[0-9.x]+(?:[:/?#]|\z)")
+    read = let(lowered, lambda x: F.when(_is_plain(x), _plain_url(x)))
+    # the condition is written out for the UDF, whose argument can't hold a lambda
+    return F.coalesce(F.when(s == "", "").otherwise(read), web_url_udf(F.when((s != "") & ~_is_plain(lowered), s)))
+
+
+def _is_plain(lowered: Column) -> Column:
+    return lowered.rlike(_PLAIN_URL) & ~lowered.rlike(r"(?i)%2e|^[a-z]+://[0-9.x]+(?:[:/?#]|\z)")
+
+
+def _plain_url(lowered: Column) -> Column:
     part = lambda i: F.regexp_extract(lowered, _PLAIN_URL, i)
-    port = F.regexp_replace(part(3), "^:0*([0-9]+)$", ":$1")
-    port = F.when(((part(1) == "http") & (port == ":80")) | ((part(1) == "https") & (port == ":443")), "").otherwise(port)
-    native = F.concat(part(1), F.lit("://"), F.lower(part(2)), port, F.regexp_replace(part(4), r"/\z", ""))
-    return F.when(s == "", "").when(plain, native).otherwise(web_url_udf(F.when(plain | (s == ""), None).otherwise(s)))
+    port = lambda scheme: let(F.regexp_replace(part(3), "^:0*([0-9]+)$", ":$1"), lambda p: F.when(((scheme == "http") & (p == ":80")) | ((scheme == "https") & (p == ":443")), "").otherwise(p))
+    return let(part(1), lambda scheme: F.concat(scheme, F.lit("://"), F.lower(part(2)), port(scheme), F.regexp_replace(part(4), r"/\z", "")))
 
 
 def safe_number(c: Column) -> Column:
     """A double if the whole text is a finite number, else null."""
     s = trim_ws(c.cast("string"))
-    number = F.when(s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), s.try_cast("double"))
-    return F.when(F.abs(number) < float("inf"), number)
+    number = let(s, lambda x: F.when(x.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), x.try_cast("double")))
+    return let(number, lambda n: F.when(F.abs(n) < float("inf"), n))
 
 
 # --- Similarity, geometry, digests ----------------------------------------------------------------------------------
@@ -172,7 +188,10 @@ def has_chain_url(url: Column) -> Column:
 
 
 def has_branch_suffix(raw_name: Column) -> Column:
-    s = trim_ws(text_or_empty(raw_name))
+    return let(trim_ws(text_or_empty(raw_name)), _ends_like_branch)
+
+
+def _ends_like_branch(s: Column) -> Column:
     return s.rlike(_FIXED_SUFFIX) | s.rlike(_PLACE_SUFFIX) | s.rlike(rf"(?:[{_HINTS}]|丁目|モール|プラザ|パーク)店\z")
 
 
@@ -186,6 +205,8 @@ def mall_pattern(text: Column, words: config.MallWords = config.MallWords()) ->
     import unicodedata
 
     def first(group: Sequence[str], prefix: str = "") -> Column:
+        if not group:
+            return F.lit(None).cast("string")
         listed = F.array(*(F.struct(F.lit(unicodedata.normalize("NFKC", w).lower()).alias("w"), F.lit(prefix + w).alias("said")) for w in group))
         any_of = _quoted([unicodedata.normalize("NFKC", w).lower() for w in group])
         # the alternation tells most texts apart in one scan; only hits look for which word comes first in the list
@@ -200,13 +221,15 @@ def is_menu_source(source: Column) -> Column:
 
 
 def is_aeon_mall(name: Column, address: Column) -> Column:
-    s = mall_text(name, address, fold=False)
-    return (s.contains("aeon") & s.contains("mall")) | (s.contains("イオン") & s.contains("モール"))
+    return let(mall_text(name, address, fold=False), lambda s: (s.contains("aeon") & s.contains("mall")) | (s.contains("イオン") & s.contains("モール")))
 
 
 # --- Hours and holidays ---------------------------------------------------------------------------------------------
 def format_holiday(c: Column) -> Column:
-    s = trim_ws(text_or_empty(c))
+    return let(trim_ws(text_or_empty(c)), _holiday)
+
+
+def _holiday(s: Column) -> Column:
     days = F.filter(F.array(*(F.when(s.contains(d), F.lit(f"{d}曜")) for d in config.WEEKDAYS)), lambda x: x.isNotNull())
     return F.when(s == "", "なし").when(s.contains("不定休"), "不定休").when(s.contains("無休") | s.contains("なし"), "なし").when(F.size(days) > 0, F.array_join(days, ", ")).otherwise(s)
 
@@ -215,13 +238,17 @@ _TIMES = r"([0-9]{1,2}:[0-9]{2}〜[0-9]{1,2}:[0-9]{2})"
 
 
 def format_hours(c: Column) -> Column:
-    s = trim_ws(text_or_empty(c))
+    cleaned = trim_ws(text_or_empty(c))
     for pattern, to in (("：", ":"), ("[～〜–－-]+", "〜"), (rf"[{WS}]+", " "), (r"[（(][^）)]*[）)]", "")):
-        s = F.regexp_replace(s, pattern, to)
+        cleaned = F.regexp_replace(cleaned, pattern, to)
+    return F.when(trim_ws(text_or_empty(c)) == "", "").otherwise(let(cleaned, _hours))
+
+
+def _hours(s: Column) -> Column:
     groups = "(" + "|".join(config.DAY_GROUPS) + ")"
     times = F.regexp_extract_all(s, F.lit(_TIMES), 1)
     parts = F.filter(F.transform(F.split(s, "(?=[月土平祝金日曜])|(?=[A-Za-z]+:)"), trim_ws), lambda x: x.rlike(_TIMES))
     day = lambda x: F.when(x.rlike(groups), F.regexp_extract(x, groups, 1)).otherwise("全日")
-    blocks = F.transform(parts, lambda x: F.concat(day(x), F.lit("："), F.array_join(F.regexp_extract_all(x, F.lit(_TIMES), 1), " / ")))
-    whole = F.concat(F.lit("全日："), F.array_join(times, " / "))
-    return F.when(trim_ws(text_or_empty(c)) == "", "").when((F.size(times) > 0) & ~s.rlike(groups), whole).when(F.size(blocks) > 0, F.array_join(blocks, "\n")).otherwise(s)
+    block = lambda x: F.concat(day(x), F.lit("："), F.array_join(F.regexp_extract_all(x, F.lit(_TIMES), 1), " / "))
+    listed = let(F.transform(parts, block), lambda b: F.when(F.size(b) > 0, F.array_join(b, "\n")).otherwise(s))
+    return let(times, lambda t: F.when((F.size(t) > 0) & ~s.rlike(groups), F.concat(F.lit("全日："), F.array_join(t, " / "))).otherwise(listed))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.kernels import BrandMatcher, match_brands, to_fixed
-from ..functions.text import has_branch_suffix, has_chain_url, is_aeon_mall, is_menu_source, mall_pattern, mall_text, normalize_name, safe_number
+from ..functions.text import has_branch_suffix, has_chain_url, is_aeon_mall, is_menu_source, let, mall_pattern, mall_text, normalize_name, safe_number
 from ..sources.mapping import _key
 from .logs import log, when_log
 from .normalize import run_time
@@ -39,14 +39,19 @@ def brand_matches(records: DataFrame, brands: list[str], options: config.Options
 
 def review_count(raw: Column) -> Column:
     """The first review column of a record that is there and holds a number; 0 without one."""
-    entries = F.map_entries(F.coalesce(raw, F.create_map().cast("map<string,string>")))
-    found = []
-    for name in config.REVIEW_COLUMNS:
-        wanted = _key(name)
-        entry = F.get(F.filter(entries, lambda e: F.lower(F.trim(e["key"])) == F.lit(wanted)), F.lit(0))  # noqa: B023
+    wanted = [_key(name) for name in config.REVIEW_COLUMNS]
+
+    def number(entry: Column) -> Column:
         value = F.coalesce(F.trim(entry["value"]), F.lit(""))
-        found.append(F.when(entry.isNotNull(), safe_number(F.when(value == "", "0").otherwise(value))))
-    return F.coalesce(*found, F.lit(0.0))
+        return safe_number(F.when(value == "", "0").otherwise(value))
+
+    def count(entries: Column) -> Column:
+        of = lambda name: F.get(F.filter(entries, lambda e: F.lower(F.trim(e["key"])) == F.lit(name)), F.lit(0))
+        return F.coalesce(*(let(of(name), lambda e: F.when(e.isNotNull(), number(e))) for name in wanted), F.lit(0.0))
+
+    # most records have no such column: its names are looked for once
+    listed = F.filter(F.map_entries(F.coalesce(raw, F.create_map().cast("map<string,string>"))), lambda e: F.lower(F.trim(e["key"])).isin(wanted))
+    return let(listed, lambda entries: F.when(F.size(entries) == 0, 0.0).otherwise(count(entries)))
 
 
 def classify(records: DataFrame, brands: list[str], options: config.Options = config.Options()) -> DataFrame:  # noqa: B008
