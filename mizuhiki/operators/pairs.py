@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import geo_cell
+from ..session import materialize
+from .skew import SHARE
 
 KINDS = ("phone", "name", "address", "url", "geo")
 COMPARED = ("normalized_name", "normalized_phone", "normalized_address", "normalized_url", "lat", "lng")
@@ -19,7 +21,7 @@ def block_keys() -> dict[str, Column]:
         "name": F.when(F.length(name) >= 4, F.substring(name, 1, 4)),
         "address": F.when(F.length(address) >= 6, F.substring(address, 1, 10)),
         "url": F.nullif(F.col("normalized_url"), F.lit("")),
-        "geo": F.concat_ws(":", geo_cell(F.col("lat")).cast("string"), geo_cell(F.col("lng")).cast("string")),
+        "geo": F.when(F.col("lat").isNotNull() & F.col("lng").isNotNull(), F.concat_ws(":", geo_cell(F.col("lat")).cast("string"), geo_cell(F.col("lng")).cast("string"))),
     }
 
 
@@ -35,20 +37,27 @@ def all_pairs(candidates: DataFrame) -> DataFrame:
 
 
 def blocked_pairs(candidates: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """(left_idx, right_idx, l, r): each pair that shares a block, once.
+    """(left_idx, right_idx, l, r): each pair that shares a block, once. candidates are read twice.
 
     One equi-join over all kinds. A pair that shares several blocks is made by the first of them only: each row
-    carries its keys, so the join itself tells, and no shuffle for a distinct is needed.
+    carries its keys, so the join itself tells, and no shuffle for a distinct is needed. A block with more than one in
+    SHARE of all block rows is parted into p by p combinations of sub-blocks, so that no task makes all of its pairs; fewer
+    than SHARE blocks are that large, and their list is broadcast.
     """
     keys = block_keys()
-    listed = F.array(*(F.when(F.coalesce(F.col("lat"), F.col("lng")).isNotNull() & F.col("lat").isNotNull() & F.col("lng").isNotNull(), keys[k]) if k == "geo" else keys[k] for k in kinds))
-    keyed = candidates.select("record_index", _side(candidates, "s"), listed.alias("keys"))
+    keyed = candidates.select("record_index", _side(candidates, "s"), F.array(*(keys[k] for k in kinds)).alias("keys"))
     blocks = keyed.select("record_index", "s", "keys", F.posexplode("keys").alias("kind", "key")).filter("key is not null")
-    left = blocks.select("kind", "key", F.col("record_index").alias("left_idx"), F.col("s").alias("l"), F.col("keys").alias("lk"))
-    right = blocks.select("kind", "key", F.col("record_index").alias("right_idx"), F.col("s").alias("r"), F.col("keys").alias("rk"))
-    shared = F.zip_with("lk", "rk", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    sizes = materialize(blocks.groupBy("kind", "key").agg(F.count("*").alias("n")).filter("n > 1"), "block-sizes")
+    total = F.lit(sizes.agg(F.sum("n")).first()[0] or 1)
+    large = sizes.filter(F.col("n") * SHARE > total).select("kind", "key", F.ceil(F.sqrt(F.col("n") * SHARE / total)).cast("int").alias("parts"))
+    blocks = blocks.join(F.broadcast(large), ["kind", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("record_index"), F.col("parts")).cast("int")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    left = blocks.select("kind", "key", own.alias("a"), F.explode(every).alias("b"), F.col("record_index").alias("left_idx"), F.col("s").alias("l"), F.col("keys").alias("lk"))
+    right = blocks.select("kind", "key", F.explode(every).alias("a"), own.alias("b"), F.col("record_index").alias("right_idx"), F.col("s").alias("r"), F.col("keys").alias("rk"))
+    shared = F.zip_with("lk", "rk", lambda x, y: F.coalesce(x == y, F.lit(False)))
     first = F.array_position(shared, F.lit(True)) == F.col("kind") + 1
-    return left.join(right, ["kind", "key"]).filter((F.col("left_idx") < F.col("right_idx")) & first).select("left_idx", "right_idx", "l", "r")
+    return left.join(right, ["kind", "key", "a", "b"]).filter((F.col("left_idx") < F.col("right_idx")) & first).select("left_idx", "right_idx", "l", "r")
 
 
 def candidate_pairs(candidates: DataFrame, pairing: str = "auto", all_pairs_limit: int = 500) -> DataFrame:

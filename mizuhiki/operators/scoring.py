@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.kernels import jaro_winkler_udf, to_fixed
-from ..functions.text import haversine_meters
+from ..functions.text import haversine_meters, let
 
 
 def first_numbers(address: Column) -> Column:
@@ -15,6 +15,16 @@ def first_numbers(address: Column) -> Column:
     return F.slice(F.regexp_extract_all(address, F.lit("([0-9]+)"), 1), 1, 3)
 
 
+def same_numbers(left: Column, right: Column) -> Column:
+    """Whether the first numbers of two addresses agree, as far as both have them."""
+
+    def fit(n: Column) -> Column:
+        shortest = F.least(F.size(n["l"]), F.size(n["r"]))
+        return F.slice(n["l"], F.lit(1), shortest) == F.slice(n["r"], F.lit(1), shortest)
+
+    return let(F.struct(first_numbers(left).alias("l"), first_numbers(right).alias("r")), fit)
+
+
 def cascade(config_: config.DuplicateScoring = config.DuplicateScoring()) -> dict[str, Column]:  # noqa: B008
     """duplicate, score, reasons and matched_on, from l, r, name_sim, address_sim and distance of a pair."""
     s = config_
@@ -23,9 +33,7 @@ def cascade(config_: config.DuplicateScoring = config.DuplicateScoring()) -> dic
     url = same("normalized_url") & (F.col("l.normalized_url") != "")
     no_phone = (F.col("l.normalized_phone") == "") | (F.col("r.normalized_phone") == "")
     name, address, distance = F.col("name_sim"), F.col("address_sim"), F.col("distance")
-    ln, rn = first_numbers(F.col("l.normalized_address")), first_numbers(F.col("r.normalized_address"))
-    shortest = F.least(F.size(ln), F.size(rn))
-    numbers_fit = (shortest == 0) | (F.slice(ln, F.lit(1), F.greatest(shortest, F.lit(0))) == F.slice(rn, F.lit(1), F.greatest(shortest, F.lit(0))))
+    numbers_fit = same_numbers(F.col("l.normalized_address"), F.col("r.normalized_address"))
     near = F.coalesce(distance <= s.distance_meters, F.lit(False))
     alike = (name >= s.name_similarity) & (address >= s.address_similarity)
     by_phone = phone & (name >= s.phone_name_guard)
@@ -50,9 +58,22 @@ def cascade(config_: config.DuplicateScoring = config.DuplicateScoring()) -> dic
 
 
 def score_pairs(pairs: DataFrame, options: config.DuplicateScoring = config.DuplicateScoring()) -> DataFrame:  # noqa: B008
-    """Match edges: pairs that a rule accepts, with similarities to four places and the distance to two."""
-    l, r = F.col("l"), F.col("r")  # noqa: E741
-    df = pairs.withColumn("name_sim", jaro_winkler_udf(l["normalized_name"], r["normalized_name"])).withColumn("address_sim", jaro_winkler_udf(l["normalized_address"], r["normalized_address"]))
-    df = df.withColumn("distance", haversine_meters(l["lat"], l["lng"], r["lat"], r["lng"])).withColumns(cascade(options))
+    """Match edges: pairs that a rule accepts, with similarities to four places and the distance to two.
+
+    Most pairs of a block are told apart without comparing texts: without an equal phone or URL, only neighbours or equal
+    house numbers can match. Of the rest names are compared, and addresses only where a rule could still accept.
+    """
+    s, l, r = options, F.col("l"), F.col("r")  # noqa: E741
+    same = lambda f: F.col(f"l.{f}") == F.col(f"r.{f}")
+    by_url, phone = same("normalized_url") & (F.col("l.normalized_url") != ""), same("normalized_phone")
+    equal = same("normalized_name") & same("normalized_address")
+    distance = haversine_meters(l["lat"], l["lng"], r["lat"], r["lng"])
+    near = F.coalesce(distance <= s.distance_meters, F.lit(False))
+    df = pairs.filter(by_url | phone | equal | near | same_numbers(l["normalized_address"], r["normalized_address"]))
+    df = df.withColumn("name_sim", jaro_winkler_udf(l["normalized_name"], r["normalized_name"]))
+    by_name = F.col("name_sim") >= min(s.name_similarity, s.distance_name_similarity)
+    df = df.filter(by_url | phone & (F.col("name_sim") >= s.phone_name_guard) | by_name | equal)
+    df = df.withColumn("address_sim", jaro_winkler_udf(l["normalized_address"], r["normalized_address"]))
+    df = df.withColumn("distance", distance).withColumns(cascade(options))
     places = lambda c, n: to_fixed(F.col(c), n).cast("double")
     return df.filter("duplicate").select("left_idx", "right_idx", "duplicate", "score", "reasons", places("name_sim", 4).alias("name_similarity"), places("address_sim", 4).alias("address_similarity"), places("distance", 2).alias("distance_meters"), "matched_on")
