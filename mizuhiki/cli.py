@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import config
-from .plans.resolve import Result, run_pipeline
-from .sources.export import csv_text, export_table, json_text, report_sheets, write_csv, write_json, write_xlsx
+from .plans.resolve import Result, run_pipeline, trace
+from .sources.export import csv_text, documents, export_table, json_text, report_sheets, write_csv, write_json, write_xlsx
 from .sources.readers import load_chain_names, load_records
 
 
@@ -39,9 +39,9 @@ def _write(result: Result, path: str, include_excluded: bool) -> None:
         with open(path, "w", encoding="utf-8") as f:
             f.write(csv_text(export_table(result, include_excluded)) if kind == "csv" else json_text(result))
     else:  # a folder that executors write
-        write_json(result.stores, f"{path}/stores")
-        write_json(result.duplicate_matches, f"{path}/duplicate_matches")
-        write_csv(export_table(result, include_excluded), f"{path}/export", single=False)
+        for name, df in documents(result).items():
+            write_json(df, f"{path}/{name}")
+        write_csv(export_table(result, include_excluded), f"{path}/export")
 
 
 def main(args: Sequence[str] | None = None) -> None:
@@ -52,6 +52,7 @@ def main(args: Sequence[str] | None = None) -> None:
     p.add_argument("--encoding", default="utf-8", help="charset of CSV files, or auto")
     p.add_argument("--on-error", "--onError", choices=("raise", "skip"), default="raise")
     p.add_argument("--pairing", choices=("auto", "all", "blocked"), default="auto")
+    p.add_argument("--trace", help="a folder for what decided about each record")
     for flag, camel in (("strip-prefecture", "stripPrefecture"), ("remove-business-words", "removeBusinessWords"), ("exclude-commercial-facilities", "excludeCommercialFacilities"), ("include-excluded", "includeExcluded"), ("report", "report")):
         p.add_argument(f"--{flag}", *([f"--{camel}"] if camel != flag else []), action="store_true")
     a = p.parse_args(args)
@@ -60,6 +61,8 @@ def main(args: Sequence[str] | None = None) -> None:
     options = config.Options(strip_prefecture=a.strip_prefecture, remove_business_words=a.remove_business_words, exclude_commercial_facilities=a.exclude_commercial_facilities, chain_names=load_chain_names(spark, a.chain_db) if a.chain_db else (), pairing=a.pairing)
     result = run_pipeline(load_records(spark, paths, a.encoding, a.on_error), options)
     _write(result, a.output, a.include_excluded)
+    if a.trace:
+        write_json(trace(result.classified), a.trace)
     result.summary.show(truncate=False)
     if a.report:
         for name, df in issue_report(result).items():

@@ -87,7 +87,9 @@ FIELD_PRIORITY = {
     "category": ("tabelog", "hotpepper", "google"),
 }
 RESERVED_EXPORT_COLUMNS = ("normalized_name", "normalized_address", "duplicate_score", "chain_flag", "mall_flag", "exclude_reason")
-# --- End of fixed values ------------------------------------------------------------------------------------------
+#: Of a download's name: where the input's name is broken up (inside a character class), and words whose parts are left out.
+FILE_NAME_BREAKS = r"\s_　!！|｜\-"
+FILE_NAME_IGNORED = ("google", "tabelog", "hotpepper", "食べログ", "ホットペッパー", "グーグルマップ", "マップ", "map", "の予約・クーポン")
 
 
 @dataclass(frozen=True)
@@ -121,6 +123,9 @@ class ChainScoring:
     chain_from: int = 60
 
 
+# --- End of fixed values ------------------------------------------------------------------------------------------
+
+
 @dataclass(frozen=True)
 class MallWords:
     strict: tuple[str, ...] = MALL_STRICT_WORDS

@@ -6,10 +6,13 @@ import io
 import json
 import re
 import zipfile
+from collections.abc import Sequence
+from datetime import datetime
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config
 from ..functions.text import trim_ws
@@ -35,7 +38,11 @@ def export_rows(result, include_excluded: bool = False) -> DataFrame:
             stores = stores.unionByName(excluded_as_stores(extra).select(*EXPORTED).withColumn("_part", F.lit(i)))
     else:
         stores = stores.filter("not chain_flag and not mall_flag")
-    return stores.withColumn("_has_phone", trim_ws(F.coalesce("phone", F.lit(""))) != "")
+    return with_phone_flag(stores)
+
+
+def with_phone_flag(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_has_phone", trim_ws(F.coalesce("phone", F.lit(""))) != "")
 
 
 def phone_first(rows: DataFrame) -> DataFrame:
@@ -61,9 +68,20 @@ def export_table(result, include_excluded: bool = False) -> DataFrame:
     return phone_first(rows).select(*raw, *extra)
 
 
+#: Rows that text and workbooks made by the driver may have: as many as a sheet holds.
+MAX_ROWS = 1 << 20
+
+
+def _bounded(rows: DataFrame) -> DataFrame:
+    """rows, or an error if there are too many for the driver; looks at one more than that."""
+    if rows.limit(MAX_ROWS + 1).count() > MAX_ROWS:
+        raise ValueError(f"more than {MAX_ROWS} rows: write a folder with write_csv or write_json instead")
+    return rows
+
+
 def csv_text(table: DataFrame) -> str:
-    """The whole CSV as text; for results that fit the driver. Empty if there is no row."""
-    rows = table.collect()
+    """The whole CSV as text, for at most MAX_ROWS rows. Empty if there is no row."""
+    rows = _bounded(table).collect()
     if not rows:
         return ""
     out = io.StringIO()
@@ -74,20 +92,77 @@ def csv_text(table: DataFrame) -> str:
     return out.getvalue()
 
 
-def write_csv(table: DataFrame, path: str, single: bool = True) -> None:
-    """A CSV folder; one part if single, else as many as the plan has, each with a header."""
+def write_csv(table: DataFrame, path: str, single: bool = False) -> None:
+    """A CSV folder: as many parts as the plan has, each with a header; one part if single."""
     (table.coalesce(1) if single else table).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 
+#: Keys of JSON documents that stay in snake case (fixed values); other columns are written in camel case.
+SNAKE_KEYS = ("chain_flag", "mall_flag", "exclude_reason")
+
+
+def _camel(name: str) -> str:
+    head, *rest = name.split("_")
+    return name if name in SNAKE_KEYS else head + "".join(x.title() for x in rest)
+
+
+def _iso(ts: Column) -> Column:
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def _documented(value: Column, kind: T.DataType) -> Column:
+    """value with keys in camel case, times as ISO 8601 text, and `ts` of logs as `timestamp`; at any depth."""
+    if isinstance(kind, T.TimestampType):
+        return _iso(value)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        return F.transform(value, lambda x: _documented(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.struct(*(_documented(value[f.name], f.dataType).alias("timestamp" if f.name == "ts" else _camel(f.name)) for f in kind))
+    return value
+
+
+def documents(result) -> dict[str, DataFrame]:
+    """summary, stores, chainExcluded, mallExcluded and duplicateMatches, in the order and with the keys of JSON output."""
+    e = result.duplicate_matches
+    pair = F.concat_ws(":", F.least("left_idx", "right_idx").cast("string"), F.greatest("left_idx", "right_idx").cast("string"))
+    evaluation = F.struct(pair.alias("pair_key"), *(c for c in e.columns if c not in ("left_idx", "right_idx")))
+    matches = e.orderBy("left_idx", "right_idx").select(F.col("left_idx").alias("left_index"), F.col("right_idx").alias("right_index"), evaluation.alias("evaluation"))
+    frames = {"summary": result.summary, "stores": result.stores.orderBy("cluster").drop("cluster"), "chain_excluded": result.chain_excluded.orderBy("record_index"), "mall_excluded": result.mall_excluded.orderBy("record_index"), "duplicate_matches": matches}
+    return {_camel(n): df.select(*(_documented(F.col(f"`{f.name}`"), f.dataType).alias(_camel(f.name)) for f in df.schema)) for n, df in frames.items()}
+
+
+#: Keys that are written as null where there is nothing; others are left out then (fixed values).
+NULL_KEYS = {"stores": ("lat", "lng"), "chainExcluded": ("lat", "lng"), "mallExcluded": ("lat", "lng")}
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines, distributed."""
     df.write.mode("overwrite").json(path)
 
 
 def json_text(result) -> str:
-    """The whole result as one pretty-printed document, for results that fit the driver."""
-    parts = {name: [json.loads(x) for x in getattr(result, name).toJSON().collect()] for name in ("stores", "chain_excluded", "mall_excluded", "duplicate_matches")}
-    return json.dumps({"summary": json.loads(result.summary.toJSON().first()), **parts}, ensure_ascii=False, indent=2) + "\n"
+    """The whole result as one pretty-printed document, for at most MAX_ROWS rows of each list."""
+    found = documents(result)
+    out: dict = {"summary": json.loads(found["summary"].toJSON().first())}
+    for name in list(found)[1:]:
+        rows = [json.loads(x) for x in _bounded(found[name]).toJSON().collect()]
+        for r in rows:
+            for key in NULL_KEYS.get(name, ()):
+                r.setdefault(key, None)
+            if "evaluation" in r:
+                r["evaluation"].setdefault("distanceMeters", None)
+            if "chainDecision" in r:
+                r["chainDecision"].setdefault("matchedChainName", None)
+        out[name] = rows
+    return json.dumps(out, ensure_ascii=False, indent=2) + "\n"
+
+
+def export_file_name(inputs: Sequence[str], extension: str, now: datetime) -> str:
+    """What a download is called: the first input's name without its platform words, and the minute."""
+    parts = [p for p in re.split("[" + config.FILE_NAME_BREAKS + "]+", inputs[0].split(".")[0]) if p] if inputs else []
+    kept = [p for p in parts if not any(w in p.lower() for w in config.FILE_NAME_IGNORED)]
+    prefix = f"{'_'.join(kept) or '店舗'}_重複統合結果" if inputs else "店舗統合結果"
+    return f"{prefix}_{now:%Y%m%d_%H%M}.{extension}"
 
 
 def report_sheets(result) -> dict[str, DataFrame]:
@@ -117,7 +192,7 @@ def report_sheets(result) -> dict[str, DataFrame]:
 
 
 def write_xlsx(sheets: dict[str, DataFrame], path: str) -> None:
-    """A minimal workbook with inline strings, written by the driver; for reports that fit it (a sheet holds 2**20 rows)."""
+    """A minimal workbook with inline strings, written by the driver, for at most MAX_ROWS rows a sheet."""
 
     def cell(v) -> str:
         if v is None:
@@ -135,5 +210,5 @@ def write_xlsx(sheets: dict[str, DataFrame], path: str) -> None:
         z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
         z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="{package}/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i, _ in enumerate(sheets, 1)) + "</Relationships>")
         for i, df in enumerate(sheets.values(), 1):
-            rows = [df.columns, *df.collect()]
+            rows = [df.columns, *_bounded(df).collect()]
             z.writestr(f"xl/worksheets/sheet{i}.xml", f'<?xml version="1.0"?><worksheet xmlns="{main}"><sheetData>' + "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in rows) + "</sheetData></worksheet>")

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions.kernels import SNIFFED, sniff_charset
 from ..functions.text import trim_ws
+from ..session import materialize, scratch_path
 from .mapping import map_columns
 
 BOM = chr(0xFEFF)
@@ -29,16 +30,33 @@ def _strip_bom(df: DataFrame) -> DataFrame:
     return df.toDF(*(c.removeprefix(BOM).strip() for c in df.columns)) if df.columns else df
 
 
+def _head(spark: SparkSession, path: str) -> bytes:
+    """The first SNIFFED bytes of a file, or of the first data file of a folder; no more is read."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if files.getFileStatus(at).isDirectory():
+        inside = sorted(str(x.getPath()) for x in files.listStatus(at) if x.getPath().getName()[0] not in "._" and x.getLen())
+        if not inside:
+            return b""
+        at = jvm.org.apache.hadoop.fs.Path(inside[0])
+    stream = files.open(at)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, SNIFFED)))
+    finally:
+        stream.close()
+
+
 def file_charset(spark: SparkSession, path: str) -> str:
-    """Sniffed from the first bytes of the file, which Spark reads."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, SNIFFED).alias("head")).first()
-    return sniff_charset(bytes(head["head"])) if head else "utf-8"
+    """Sniffed from the first bytes of the file."""
+    return sniff_charset(_head(spark, path))
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """All cells as trimmed strings; ragged rows get nulls, empty lines are skipped. An empty file has no rows.
 
-    encoding: a charset, or `auto` to sniff it.
+    encoding: a charset, or `auto` to sniff it. One that Spark doesn't list, such as shift_jis, sets the session's
+    spark.sql.legacy.javaCharsets, as files are read when a query runs.
     """
     charset = file_charset(spark, path) if encoding == "auto" else encoding
     if charset not in _LISTED_CHARSETS:
@@ -49,12 +67,13 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFra
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of records, or an object with one in `records`; anything else has no rows. Bad syntax is an error."""
-    text = spark.read.text(path, wholetext=True).first()
-    if text is None or not text["value"].strip().removeprefix(BOM):
+    """An array of records, or an object with one in `records`; anything else has no rows. Bad syntax is an error. Blanks
+    before the first bracket may take up to SNIFFED bytes."""
+    first = _head(spark, path).removeprefix(BOM.encode()).lstrip()[:1]
+    if not first:
         return spark.createDataFrame([], "name string")
     df = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
-    if text["value"].lstrip().removeprefix(BOM).lstrip().startswith("{"):
+    if first == b"{":
         if "records" not in df.columns or not df.schema["records"].dataType.simpleString().startswith("array<struct"):
             return spark.createDataFrame([], "name string")
         df = df.select(F.explode("records").alias("r")).select("r.*")
@@ -70,10 +89,11 @@ def read_source(spark: SparkSession, path: str, encoding: str = "utf-8") -> Data
     raise ValueError(f"Unsupported input format: {path}")
 
 
-def load_records(spark: SparkSession, paths: Sequence[str], encoding: str = "utf-8", on_error: str = "raise") -> DataFrame:
+def load_records(spark: SparkSession, paths: Sequence[str], encoding: str = "utf-8", on_error: str = "raise", names: Sequence[str] | None = None) -> DataFrame:
     """Canonical records of all files, in order; rows without a name are dropped, record_index counts the rest from 0.
 
-    on_error: `raise`, or `skip` to go on without a file that can't be read.
+    on_error: `raise`, or `skip` to go on without a file that can't be read. names: what each file is called, if not as its
+    path ends; a file's name tells the source of records that don't.
     """
     frames = []
     for i, path in enumerate(paths):
@@ -81,7 +101,7 @@ def load_records(spark: SparkSession, paths: Sequence[str], encoding: str = "utf
             df = read_source(spark, path, encoding)
             if not df.columns:
                 continue
-            mapped = map_columns(df, _stem(path)).filter(trim_ws(F.col("name")) != "")
+            mapped = map_columns(df, names[i] if names else _stem(path)).filter(trim_ws(F.col("name")) != "")
             frames.append(mapped.withColumn("_file", F.lit(i)).withColumn("_row", F.monotonically_increasing_id()))
         except Exception as e:
             if on_error != "skip":
@@ -91,7 +111,32 @@ def load_records(spark: SparkSession, paths: Sequence[str], encoding: str = "utf
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return with_index(out, "_file", "_row").drop("_file", "_row")
+    # written, as the index needs two passes over rows that keep their numbers
+    return with_index(materialize(out, "records"), "_file", "_row").drop("_file", "_row")
+
+
+def load_uploads(spark: SparkSession, uploads: Sequence[tuple[str, bytes]]) -> DataFrame:
+    """Records of uploaded files (name, content), all read as CSV in the charset that each seems to have.
+
+    Files that can't be read are left out; without any record there is an error. The file's name tells the source of
+    records that don't.
+    """
+    if not uploads:
+        raise ValueError("no files")
+    folder = scratch_path(spark, "uploads")
+    jvm = spark.sparkContext._jvm
+    paths = []
+    for i, (_, content) in enumerate(uploads):
+        text = content.decode(sniff_charset(content), "replace").removeprefix(BOM)
+        at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{i}.csv")
+        out = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at)
+        out.write(text.encode())
+        out.close()
+        paths.append(at.toString())
+    records = load_records(spark, paths, on_error="skip", names=[_stem(name) for name, _ in uploads])
+    if records.isEmpty():
+        raise ValueError("no file has any records")
+    return records
 
 
 def with_index(df: DataFrame, file_col: str, row_col: str) -> DataFrame:
