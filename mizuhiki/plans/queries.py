@@ -6,23 +6,27 @@ run. Names, phones and addresses are ASCII there unless a query is about somethi
 
 from __future__ import annotations
 
+import dataclasses
 import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import config
 from ..functions import text as t
 from ..functions.kernels import jaro_winkler_udf, to_fixed
 from ..operators import merge, pairs
-from ..operators.classify import brand_matches, classify, heavy_brands, route
+from ..operators.classify import brand_matches, classify, heavy_brands, master_brands, route
 from ..operators.components import connected_components
 from ..operators.normalize import normalize_records
 from ..operators.scoring import cascade, first_numbers, score_pairs
-from ..session import materialize
+from ..session import scratch_path
+from ..sources.export import export_rows, export_table, phone_first, with_phone_flag, write_csv
 from ..sources.mapping import detect_source, map_columns, source_name
-from .resolve import run_pipeline, summarize
+from ..sources.readers import load_chain_names, load_records
+from .resolve import run_pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Names begin with three digits of a hash, so that they make many small blocks, and a third of the phones are missing.
 LISTINGS = """
 with s as (
   select 'google' as source, s_suppkey as k, s_name as name, s_nationkey as nk from supplier
@@ -49,8 +54,8 @@ with s as (
   select 'tabelog', c_custkey, concat('Supplier#', substring(c_name, 10)), c_nationkey from customer
   union all
   select 'hotpepper', p_partkey, p_name, p_size % 25 from part)
-select source, k, name,
-  concat('03-1', lpad(cast(k % 1000 as varchar(10)), 3, '0'), '-', lpad(cast(k % 7919 as varchar(10)), 4, '0')) as phone,
+select source, k, concat(substring(md5(cast(k as varchar(10))), 1, 3), ' ', name) as name,
+  case when k % 3 <> 0 then concat('03-1', lpad(cast(k % 1000 as varchar(10)), 3, '0'), '-', lpad(cast(k % 7919 as varchar(10)), 4, '0')) end as phone,
   concat(n_name, ' ', cast(k as varchar(10)), '-', cast(k % 7 as varchar(10)), '-', case when source = 'google' then '1' else '01' end) as address,
   35.0 + cast(k as double) * 0.01 + case when source = 'google' then 0.0 else 0.0001 end as lat,
   139.0 + cast(k as double) * 0.01 as lng,
@@ -59,26 +64,42 @@ select source, k, name,
 from s join nation on nk = n_nationkey"""
 
 
-#: Listings whose names begin with three digits of a hash, so that names make many small blocks.
-NAMED = f"""select source, k, concat(substring(md5(cast(k as varchar(10))), 1, 3), ' ', name) as name, phone, address, lat, lng, url, record_index
-from ({LISTINGS}) as x"""
-
-
-def listings(spark: SparkSession, sf_dir: str, sql: str = LISTINGS) -> DataFrame:
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = LISTINGS
     for name in ("supplier", "customer", "part", "nation"):
         sql = re.sub(rf"\b(from|join) {name}\b", rf"\1 parquet.`{sf_dir}/{name}.parquet`", sql)
     return spark.sql(sql)
 
 
-def normalized_listings(spark: SparkSession, sf_dir: str, sql: str = LISTINGS) -> DataFrame:
+def normalized_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings as the columns that pairs compare, by plain lower case: the oracle does the same."""
-    return listings(spark, sf_dir, sql).select("record_index", "source", F.lower("name").alias("normalized_name"), F.col("name").alias("raw_name"), F.replace("phone", F.lit("-"), F.lit("")).alias("normalized_phone"), F.col("phone").alias("raw_phone"), F.lower(F.replace("address", F.lit(" "), F.lit(""))).alias("normalized_address"), F.col("address").alias("raw_address"), "lat", "lng", F.substring_index("url", "?", 1).alias("normalized_url"), "url")
+    phone = F.coalesce("phone", F.lit(""))
+    return listings(spark, sf_dir).select("record_index", "source", F.lower("name").alias("normalized_name"), F.col("name").alias("raw_name"), F.replace(phone, F.lit("-"), F.lit("")).alias("normalized_phone"), phone.alias("raw_phone"), F.lower(F.replace("address", F.lit(" "), F.lit(""))).alias("normalized_address"), F.col("address").alias("raw_address"), "lat", "lng", F.substring_index("url", "?", 1).alias("normalized_url"), "url")
 
 
 NORMAL_SQL = f"""l as ({LISTINGS}),
-n as (select record_index, source, lower(name) as normalized_name, name as raw_name, replace(phone, '-', '') as normalized_phone, phone as raw_phone,
+n as (select record_index, source, lower(name) as normalized_name, name as raw_name, replace(coalesce(phone, ''), '-', '') as normalized_phone, coalesce(phone, '') as raw_phone,
   lower(replace(address, ' ', '')) as normalized_address, address as raw_address, lat, lng, split_part(url, '?', 1) as normalized_url, url from l)"""
-NAMED_SQL = NORMAL_SQL.replace(LISTINGS, NAMED)
+
+
+
+def jaro_winkler_sql(source: str, name: str) -> str:
+    """Tables of a WITH clause: `name` has (a, b, similarity) for the pairs (a, b) of `source`.
+
+    A fold over the letters of a takes for each the first equal letter of b that is in reach and not yet taken.
+    """
+    near = "range(greatest(1, x.i - reach), least(length(b), x.i + reach) + 1)"
+    first = f"list_filter({near}, lambda j: b[j] = a[x.i] and not list_contains(t.taken, j))[1:1]"
+    none = "cast([] as bigint[])"
+    places = f"list_transform(range(1, length(a) + 1), lambda i: {{'i': i, 'taken': {none}}})"
+    taken = f"list_reduce({places}, lambda t, x: {{'i': x.i, 'taken': t.taken || {first}}}, {{'i': cast(0 as bigint), 'taken': {none}}}).taken"
+    odd = "len(list_filter(range(1, len(taken) + 1), lambda i: b[taken[i]] <> b[list_sort(taken)[i]])) / 2.0"
+    share = "len(taken) / cast(length(a) as double) + len(taken) / cast(length(b) as double)"
+    prefix = "len(list_filter(range(1, 5), lambda i: length(a) >= i and length(b) >= i and a[1:i] = b[1:i]))"
+    return f"""{name}_taken as (select a, b, {taken} as taken from (select a, b, greatest(length(a), length(b)) // 2 - 1 as reach from {source})),
+{name}_jaro as (select a, b, case when a = b then 1.0 when len(taken) = 0 then 0.0 else ({share} + (len(taken) - {odd}) / cast(len(taken) as double)) / 3 end as jaro from {name}_taken),
+{name} as (select a, b, case when jaro <= 0.7 then jaro else jaro + {prefix} * cast(0.1 as double) * (1 - jaro) end as similarity from {name}_jaro)"""
+
 
 # --- Scalar functions -----------------------------------------------------------------------------------------------
 PHONES = """case c_custkey % 6 when 0 then concat('+81-3-', lpad(cast(c_custkey as varchar(12)), 8, '0')) when 1 then concat('0081 90', lpad(cast(c_custkey as varchar(12)), 8, '0'))
@@ -124,7 +145,8 @@ def _branch(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.expr(BRANCH).alias("raw")).select("p_partkey", t.strip_branch_suffix(F.col("raw")).alias("name"))
 
 
-@query("normalize_name")
+@query("normalize_name", f"""with n as (select p_partkey, p_name, {BRANCH} as raw from part)
+select p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(raw || p_name), 'inc\\.?|llc|corp\\.?', '', 'g'), '[ \\-]', '', 'g'), '本店|支店|号店|店|階', '', 'g'), 'f', '', 'g') as name from n""")
 def _name(spark, sf):
     return table(spark, sf, "part").select("p_partkey", t.normalize_name(F.concat(F.lit("株式会社 "), F.expr(BRANCH), F.col("p_name"))).alias("name"))
 
@@ -152,7 +174,7 @@ def _levenshtein(spark, sf):
     return both.select(F.col("a.n_nationkey").alias("l"), F.col("b.n_nationkey").alias("r"), F.levenshtein("a.n_name", "b.n_name").alias("distance"), F.round(t.levenshtein_similarity(F.col("a.n_name"), F.col("b.n_name")), 6).alias("similarity"))
 
 
-@query("jaro_winkler_pairs")
+@query("jaro_winkler_pairs", f"with n as (select a.n_nationkey as l, b.n_nationkey as r, a.n_name as a, b.n_name as b from nation a join nation b on a.n_nationkey < b.n_nationkey), {jaro_winkler_sql('n', 'w')} select l, r, similarity from n join w on n.a = w.a and n.b = w.b")
 def _jaro(spark, sf):
     n = table(spark, sf, "nation")
     both = n.alias("a").join(F.broadcast(n.alias("b")), F.col("a.n_nationkey") < F.col("b.n_nationkey"))
@@ -222,6 +244,35 @@ def _mapping(spark, sf):
     return map_columns(rows).select("name", "phone", "lat", "source", F.size("raw").alias("columns"))
 
 
+@query("load_files", """with s as (select 0 as file, s_suppkey as k, s_name as name, 'Google' as source, cast(s_nationkey as varchar) as phone, cast(s_acctbal as varchar) as hours from supplier where s_suppkey % 5 > 0
+  union all select 1, n_nationkey, n_name, 'nations', cast(n_regionkey as varchar), '' from nation union all select 2, r_regionkey, r_name, 'hotpepper', '', r_name || ' day' from region)
+select row_number() over (order by file, k) - 1 as record_index, name, case when file = 0 then 'google' else source end as source, phone, case when file = 0 then '' else hours end as business_hours, case when file = 2 then hours else '' end as regular_holiday, case file when 0 then 5 when 1 then 3 else 3 end as columns from s""")
+def _load(spark, sf):
+    """A CSV with a mark and nameless rows, JSON as an object and as an array, and a file that isn't there."""
+    at = scratch_path(spark, "files")
+    supplier, nation, region = (table(spark, sf, n) for n in ("supplier", "nation", "region"))
+    named = F.when(F.col("s_suppkey") % 5 > 0, F.col("s_name")).otherwise(F.lit("  "))
+    rows = supplier.select(named.alias("\ufeff店名"), F.lit("Google").alias("媒体"), F.col("s_nationkey").alias("TEL"), F.col("s_acctbal").alias("緯"), F.lit("a, \"b\"").alias("備考"), "s_suppkey")
+    write_csv(rows.coalesce(1).sortWithinPartitions("s_suppkey").drop("s_suppkey"), f"{at}/a.csv", single=True)
+    listed = lambda df, by, *columns: df.agg(F.sort_array(F.collect_list(F.struct(by, F.struct(*columns).alias("r")))).alias("l")).select(F.transform("l", lambda x: x["r"]).alias("records"))
+    nations = listed(nation, "n_nationkey", F.col("n_name").alias("Name "), F.lit(" Nations").alias("site"), F.col("n_regionkey").cast("string").alias("電話"))
+    nations.select(F.to_json(F.struct("records")).alias("value")).coalesce(1).write.text(f"{at}/b.json")
+    regions = listed(region, "r_regionkey", F.col("r_name").alias("店舗名"), F.lit("ホットペッパー").alias("platform"), F.concat("r_name", F.lit(" day")).alias("raw_business_hours"))
+    regions.select(F.to_json("records").alias("value")).coalesce(1).write.text(f"{at}/c.json")
+    loaded = load_records(spark, [f"{at}/{n}" for n in ("a.csv", "none.csv", "b.json", "c.json")], encoding="auto", on_error="skip")
+    return loaded.select("record_index", "name", "source", "phone", "business_hours", "regular_holiday", F.size("source_columns").alias("columns"))
+
+
+@query("chain_master", "with p as (select distinct p_name as name from part union all select 'さくら 本店' union all select 'さくら'), b as (select row_number() over (order by name) as ord, case when name like 'さくら%' then 'さくら' else regexp_replace(replace(lower(name), ' ', ''), 'f', '', 'g') end as brand from p) select row_number() over (order by min(ord)) - 1 as ord, brand from b group by brand")
+def _master(spark, sf):
+    """A chain master written as JSON and read back; brands in its order, normalised and each once."""
+    names = table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct().unionByName(spark.createDataFrame([("さくら 本店",), ("さくら",)], "name string"))
+    at = f"{scratch_path(spark, 'chains')}/chains.json"
+    names.agg(F.sort_array(F.collect_list("name")).alias("chains")).select(F.to_json(F.struct("chains")).alias("value")).coalesce(1).write.text(at)
+    brands = master_brands(spark, load_chain_names(spark, at))
+    return spark.createDataFrame(list(enumerate(brands)), "ord long, brand string")
+
+
 # --- Classification -------------------------------------------------------------------------------------------------
 def _parts(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("record_index"), F.lower("p_name").alias("normalized_name"))
@@ -247,9 +298,14 @@ def _chains(spark, sf):
     return brand_matches(_parts(spark, sf), BRANDS, options).select("normalized_name", "match.kind", "match.brand")
 
 
-@query("chain_similar")
+SIMILAR_TO = ("smal ring", "gren box")
+
+
+@query("chain_similar", f"""with m(ord, b) as (values (0, '{SIMILAR_TO[0]}'), (1, '{SIMILAR_TO[1]}')), n as (select distinct lower(p_name) as a from part), p as (select a, b, ord from n, m),
+{jaro_winkler_sql('p', 'w')}, s as (select p.a, p.b, similarity, row_number() over (partition by p.a order by similarity desc, ord) as no from p join w on p.a = w.a and p.b = w.b)
+select a as normalized_name, case when similarity >= 0.94 then 'similar' else 'none' end as kind, case when similarity >= 0.94 then b end as brand, round(similarity, 4) as similarity from s where no = 1""")
 def _similar(spark, sf):
-    return brand_matches(_parts(spark, sf), ["smal ring", "gren box"], config.Options(generic_words=())).select("normalized_name", "match.kind", "match.brand", F.round("match.similarity", 4).alias("similarity"))
+    return brand_matches(_parts(spark, sf), list(SIMILAR_TO), config.Options(generic_words=())).select("normalized_name", "match.kind", "match.brand", F.round("match.similarity", 4).alias("similarity"))
 
 
 CHAIN_RECORDS = "select p_partkey as record_index, p_name as name, concat('http://x.example.com/', case when p_partkey % 3 = 0 then 'Shop/' else 'a/' end, cast(p_partkey as varchar(12))) as url, cast(p_size * 20 as varchar(12)) as reviews from part"
@@ -304,6 +360,7 @@ def _cell(side: str) -> str:
 
 BLOCK_SQL = {
     "phone": "l.normalized_phone = r.normalized_phone and l.normalized_phone <> ''",
+    "name": "length(l.normalized_name) >= 4 and length(r.normalized_name) >= 4 and substr(l.normalized_name, 1, 4) = substr(r.normalized_name, 1, 4)",
     "address": "length(l.normalized_address) >= 6 and substr(l.normalized_address, 1, 10) = substr(r.normalized_address, 1, 10) and length(r.normalized_address) >= 6",
     "url": "l.normalized_url = r.normalized_url and l.normalized_url <> ''",
     "geo": f"row({_cell('l')}) = row({_cell('r')})",
@@ -315,23 +372,13 @@ for _kind, _sql in BLOCK_SQL.items():
         return pairs.blocked_pairs(normalized_listings(spark, sf), (kind,)).select("left_idx", "right_idx")
 
 
-@query("block_pairs_union", _block_sql(" or ".join(f"({x})" for x in BLOCK_SQL.values())))
-def _union(spark, sf):
-    return pairs.blocked_pairs(normalized_listings(spark, sf), tuple(BLOCK_SQL)).select("left_idx", "right_idx")
-
-
-NAME_SQL = "length(l.normalized_name) >= 4 and length(r.normalized_name) >= 4 and substr(l.normalized_name, 1, 4) = substr(r.normalized_name, 1, 4)"
-
-
-@query("block_pairs_name", _block_sql(NAME_SQL, NAMED_SQL))
-def _named(spark, sf):
-    return pairs.blocked_pairs(normalized_listings(spark, sf, NAMED), ("name",)).select("left_idx", "right_idx")
+#: The pairs of all kinds of block as one table p; a union by kinds, as an OR would compare all with all.
+UNION_SQL = " union ".join(f"select l.record_index as left_idx, r.record_index as right_idx from n l join n r on l.record_index < r.record_index and {x}" for x in BLOCK_SQL.values())
 
 
-@query("block_pairs_all", _block_sql(" or ".join(f"({x})" for x in (*BLOCK_SQL.values(), NAME_SQL)), NAMED_SQL))
-def _all_kinds(spark, sf):
-    """All five kinds; `block_pairs_union` has the four that its SQL names, as names of LISTINGS would pair all suppliers and customers."""
-    return pairs.blocked_pairs(normalized_listings(spark, sf, NAMED)).select("left_idx", "right_idx")
+@query("block_pairs_union", f"with {NORMAL_SQL} {UNION_SQL}")
+def _union(spark, sf):
+    return pairs.blocked_pairs(normalized_listings(spark, sf)).select("left_idx", "right_idx")
 
 
 @query("block_sizes_name", f"with {NORMAL_SQL} select substr(normalized_name, 1, 4) as key, count(*) as n, cast(count(*) * (count(*) - 1) / 2 as bigint) as pairs from n where length(normalized_name) >= 4 group by 1")
@@ -339,6 +386,13 @@ def _name_sizes(spark, sf):
     return pairs.block_sizes(normalized_listings(spark, sf), ("name",)).select("key", "n", "pairs")
 
 
+@query("block_sizes_geo", f"with {NORMAL_SQL}, g as (select case when record_index % 5 > 0 then cast(floor(lat * 2000 + 0.5) as bigint) || ':' || cast(floor(lng * 2000 + 0.5) as bigint) end as key from n) select key, count(*) as n, cast(count(*) * (count(*) - 1) / 2 as bigint) as pairs from g where key is not null group by 1")
+def _geo_sizes(spark, sf):
+    """A fifth of the listings have no longitude, and so no cell."""
+    rows = normalized_listings(spark, sf).withColumn("lng", F.when(F.col("record_index") % 5 > 0, F.col("lng")))
+    return pairs.block_sizes(rows, ("geo",)).select("key", "n", "pairs")
+
+
 @query("all_pairs_nation", "select l.n_nationkey as left_idx, r.n_nationkey as right_idx from nation l join nation r on l.n_nationkey < r.n_nationkey")
 def _all(spark, sf):
     """A whole table that is small at any scale; the switch to blocks beyond 500 rows is tested on made-up records."""
@@ -349,7 +403,28 @@ def _all(spark, sf):
 
 SCORED_SQL = f"""with {NORMAL_SQL},
 p as (select l.record_index as left_idx, r.record_index as right_idx, l.normalized_phone as lp, r.normalized_phone as rp, l.normalized_name as ln, r.normalized_name as rn, l.normalized_url = r.normalized_url as u
-  from n l join n r on l.record_index < r.record_index and l.normalized_phone = r.normalized_phone)"""
+  from n l join n r on l.record_index < r.record_index and l.normalized_phone = r.normalized_phone and l.normalized_phone <> '')"""
+
+
+def matches_sql(pair_sql: str) -> str:
+    """Tables of a WITH clause after n: `p`, the pairs (left_idx, right_idx) of pair_sql, and `m`, those that a rule accepts."""
+    s = config.DuplicateScoring()
+    numbers = lambda side: f"regexp_extract_all({side}.normalized_address, '[0-9]+')[1:3]"
+    both = ", ".join(f"{side}.normalized_{x} as {side}_{x}" for side in "lr" for x in ("name", "phone", "address", "url"))
+    h = "power(sin(radians(r.lat - l.lat) / 2), 2) + cos(radians(l.lat)) * cos(radians(r.lat)) * power(sin(radians(r.lng - l.lng) / 2), 2)"
+    return f"""p as ({pair_sql}),
+f as (select left_idx, right_idx, {both}, {numbers('l')} as l_numbers, {numbers('r')} as r_numbers, {h} as h from p join n l on l.record_index = left_idx join n r on r.record_index = right_idx),
+fn as (select distinct l_name as a, r_name as b from f), {jaro_winkler_sql('fn', 'wn')},
+g as (select f.*, similarity as name_sim, 2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)) as distance, least(len(l_numbers), len(r_numbers)) as shortest from f join wn on l_name = a and r_name = b),
+fa as (select distinct l_address as a, r_address as b from g where name_sim >= {s.name_similarity}), {jaro_winkler_sql('fa', 'wa')},
+e as (select g.*, l_phone = r_phone and l_phone <> '' as same_phone, l_url = r_url and l_url <> '' as same_url, (l_phone = '' or r_phone = '') and l_name = r_name and l_address = r_address as equal,
+  name_sim >= {s.name_similarity} and similarity >= {s.address_similarity} as alike, shortest = 0 or l_numbers[1:shortest] = r_numbers[1:shortest] as numbers_fit, distance <= {s.distance_meters} and name_sim >= {s.distance_name_similarity} as near
+  from g left join wa on l_address = a and r_address = b),
+v as (select *, case when same_phone and name_sim >= {s.phone_name_guard} then 1 when same_url then 2 when equal then 3 when coalesce(alike, false) and numbers_fit then 4 when coalesce(near, false) then 5 else 0 end as level from e),
+m as (select left_idx, right_idx, [{s.phone_match}, {s.url_match}, {s.name_address_exact}, {s.similarity_match}, {s.distance_match}][level] as score,
+  concat_ws(',', case when same_phone and level <> 1 then 'phone_match_rejected_name_mismatch' end, case when level = 5 and coalesce(alike, false) and not numbers_fit then 'similarity_match_rejected_different_address_numbers' end,
+    ['phone_match', 'url_match', 'name_and_address_exact_match', 'similarity_match', 'distance_and_name_match'][level]) as reasons,
+  round(name_sim, 4) as name_similarity, round(distance, 2) as distance_meters from v where level > 0)"""
 
 
 @query("score_cascade", f"{SCORED_SQL} select left_idx, right_idx, case when ln = rn then 100 when u then 70 else 0 end as score, case when ln = rn then 'phone_match' when u then 'phone_match_rejected_name_mismatch,url_match' else 'phone_match_rejected_name_mismatch' end as reasons from p")
@@ -360,9 +435,10 @@ def _cascade(spark, sf):
     return sims.withColumns({k: v for k, v in cascade().items() if k in ("score", "reasons")}).select("left_idx", "right_idx", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("score_pairs")
+@query("score_pairs", f"with {NORMAL_SQL}, {matches_sql(UNION_SQL)} select * from m")
 def _scores(spark, sf):
-    return score_pairs(pairs.blocked_pairs(normalized_listings(spark, sf), ("phone", "url"))).select("left_idx", "right_idx", "score", F.array_join("reasons", ",").alias("reasons"), "name_similarity", "distance_meters")
+    """All rules over the pairs of all kinds of block."""
+    return score_pairs(pairs.blocked_pairs(normalized_listings(spark, sf))).select("left_idx", "right_idx", "score", F.array_join("reasons", ",").alias("reasons"), "name_similarity", "distance_meters")
 
 
 @query("address_numbers", f"with l as ({LISTINGS}) select record_index, array_to_string(regexp_extract_all(address, '[0-9]+')[1:3], ',') as numbers from l")
@@ -379,13 +455,14 @@ def _components(spark, sf):
 
 
 CLUSTERED_SQL = f"""with {NORMAL_SQL},
-x as (select *, min(record_index) over (partition by normalized_phone) as cluster, case when normalized_phone <> '' then 1000 else 0 end + case source when 'google' then 300 when 'tabelog' then 200 else 100 end + 30 + length(raw_address) + length(raw_name) as richness from n)"""
+x as (select *, min(record_index) over (partition by case when normalized_phone = '' then cast(record_index as varchar) else normalized_phone end) as cluster, case when normalized_phone <> '' then 1000 else 0 end + case source when 'google' then 300 when 'tabelog' then 200 else 100 end + 30 + length(raw_address) + length(raw_name) as richness from n)"""
 
 
 def _clustered(spark, sf):
     rows = normalized_listings(spark, sf)
-    least = rows.groupBy("normalized_phone").agg(F.min("record_index").alias("cluster"))
-    return rows.join(least, "normalized_phone").withColumn("richness", merge.richness())
+    rows = rows.withColumn("_by", F.coalesce(F.nullif("normalized_phone", F.lit("")), F.col("record_index").cast("string")))
+    least = rows.groupBy("_by").agg(F.min("record_index").alias("cluster"))
+    return rows.join(least, "_by").drop("_by").withColumn("richness", merge.richness())
 
 
 @query("primary_by_richness", f"{CLUSTERED_SQL}, r as (select cluster, record_index, richness, row_number() over (partition by cluster order by richness desc, record_index) as k from x) select cluster, record_index as primary_index, richness from r where k = 1")
@@ -406,66 +483,105 @@ def _max_score(spark, sf):
     return scored.join(labels, "left_idx").groupBy("cluster").agg(F.max("score").alias("duplicate_score"))
 
 
-@query("resolve_listings")
-def _run(spark, sf):
-    """run_pipeline with its default kinds of block and rules, over listings of which a third have no phone."""
-    records = listings(spark, sf, NAMED).withColumn("phone", F.when(F.col("k") % 3 != 0, F.col("phone"))).drop("k")
-    return _stores(run_pipeline(records, config.Options(run_ts="2026-01-01 00:00:00")).stores)
+CHAINS = ("Small Ring", "RED BOX", "鳥貴族", "Small Ring")
+OPTIONS = config.Options(chain_names=CHAINS, run_ts="2026-01-01 00:00:00")
+#: What normalisation and the default rules make of LISTINGS: z all records, n candidates, p pairs, m matches, x clustered records.
+RESOLVED_SQL = f"""with recursive l as ({LISTINGS}),
+y as (select record_index, source, name as raw_name, coalesce(phone, '') as raw_phone, address as raw_address, lat, lng, url, replace(coalesce(phone, ''), '-', '') as normalized_phone, lower(replace(address, ' ', '')) as normalized_address,
+  split_part(url, '?', 1) as normalized_url, regexp_replace(regexp_replace(regexp_replace(lower(name), 'inc\\.?|llc|corp\\.?', '', 'g'), '[ \\-]', '', 'g'), 'f', '', 'g') as normalized_name from l),
+brands(ord, brand) as (values (0, 'smallring'), (1, 'redbox'), (2, '鳥貴族')),
+pb as (select distinct normalized_name as a, brand as b from y, brands), {jaro_winkler_sql("pb", "wb")},
+k as (select a, max(case when a = b then 70 when contains(a, b) or (length(a) >= 4 and contains(b, a)) then 65 when similarity >= 0.94 then 40 else 0 end) as points from wb group by a),
+h as (select normalized_name as a, case when count(*) >= 5 then 30 else 0 end as points from y where normalized_name <> '' group by 1),
+z as (select y.*, k.points + h.points >= 60 as chain_flag from y join k on normalized_name = k.a join h on normalized_name = h.a),
+n as (select * from z where not chain_flag),
+{matches_sql("select l.record_index as left_idx, r.record_index as right_idx from n l join n r on l.record_index < r.record_index where (select count(*) from n) <= 500 union " + UNION_SQL)},
+b as (select left_idx as src, right_idx as dst from m union select right_idx, left_idx from m),
+r(id, spot) as (select src, src from b union select r.id, b.dst from r join b on b.src = r.spot),
+c as (select id, min(spot) as component from r group by id),
+x as (select n.*, coalesce(component, record_index) as cluster, case source when 'google' then 0 when 'tabelog' then 1 else 2 end as place,
+  case when normalized_phone <> '' then 1000 else 0 end + case source when 'google' then 300 when 'tabelog' then 200 else 100 end + 30 + length(raw_address) + length(raw_name) as richness from n left join c on record_index = id)"""
+
+
+@query("resolve_stores", f"""{RESOLVED_SQL},
+q as (select cluster, arg_min(raw_name, place * 10000000000 + record_index) as name, arg_min(normalized_name, place * 10000000000 + record_index) as normalized_name,
+  coalesce(arg_min(raw_phone, place * 10000000000 + record_index) filter (raw_phone <> ''), '') as phone, coalesce(arg_min(normalized_phone, place * 10000000000 + record_index) filter (raw_phone <> ''), '') as normalized_phone,
+  arg_min(raw_address, place * 10000000000 + record_index) as address, arg_min(lat, record_index - richness * 10000000000) as lat, arg_min(lng, record_index - richness * 10000000000) as lng,
+  array_to_string(list_transform(list_sort(list_distinct(list(place))), lambda i: ['google', 'tabelog', 'hotpepper'][i + 1]), '|') as sources, count(*) as n_records from x group by cluster),
+t as (select cluster, max(score) as score from m join x on left_idx = record_index group by cluster)
+select substr(sha1(normalized_name || '|' || normalized_phone || '|' || printf('%.6f', lat) || '|' || printf('%.6f', lng)), 1, 20) as store_id, name, phone, address, lat, lng, sources, coalesce(score, 0) as duplicate_score, n_records
+from q left join t on q.cluster = t.cluster""")
+def stores(spark, sf):
+    """The whole run over all listings, with the default kinds of block and rules and a chain master; one row for each
+    store, without the time-stamped columns."""
+    out = run_pipeline(listings(spark, sf).drop("k"), OPTIONS).stores
+    return out.select("store_id", "name", "phone", "address", "lat", "lng", F.array_join("sources", "|").alias("sources"), "duplicate_score", F.size("raw_records").alias("n_records"))
 
 
-def _stores(out):
-    return out.select("store_id", "name", "phone", "address", "lat", "lng", F.array_join("sources", "|").alias("sources"), "duplicate_score", F.size("raw_records").alias("n_records"))
+@query("run_summary", f"""{RESOLVED_SQL},
+s as (select count(distinct cluster) as stores from x), d as (select count(*) as several from (select cluster from x group by cluster having count(*) > 1)),
+i as (select count(*) as input_count, count(*) filter (chain_flag) as chains from z)
+select input_count, input_count as normalized_count, chains as chain_excluded_count, cast(0 as bigint) as mall_excluded_count, input_count - chains - stores as duplicate_excluded_count, several as duplicate_cluster_count, (select count(*) from m) as merged_count, stores as output_count from i, s, d""")
+def _summary(spark, sf):
+    return run_pipeline(listings(spark, sf).drop("k"), OPTIONS).summary.drop("exclude_reasons_stats")
 
 
-@query("resolve_stores")
-def stores(spark, sf):
-    """All listings by phone and URL blocks only, without brands and the rule of frequent names; one row for each store,
-    without the time-stamped columns. `resolve_listings` leaves nothing out."""
-    return _stores(_run_phone(spark, sf))
+@query("match_edges", f"{RESOLVED_SQL} select left_idx, right_idx, score, reasons from m")
+def _edges(spark, sf):
+    """The duplicate matches of the whole run."""
+    return run_pipeline(listings(spark, sf).drop("k"), OPTIONS).duplicate_matches.select("left_idx", "right_idx", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
-def _run_phone(spark, sf):
-    """Phone and URL blocks: names of listings share their first letters, which would pair all of them."""
-    records = classify(normalize_records(listings(spark, sf).drop("k")), [], config.Options(chain=config.ChainScoring(occurrence_from=1 << 30)))
-    records = materialize(records, "classified")
-    candidates = route(records).candidates
-    matches = materialize(score_pairs(pairs.blocked_pairs(candidates, ("phone", "url"))), "matches")
-    return merge.merge_clusters(merge.assign_clusters(candidates, matches), matches, config.Options(run_ts="2026-01-01 00:00:00"))
+#: Optional fields of listings, for merging: some have none.
+DETAILS = {
+    "area": "case when k % 3 = 1 then concat('area ', source) else '' end",
+    "category": "case when k % 4 = 0 or source = 'google' then '' else concat('kind ', source) end",
+    "business_hours": "case when source = 'google' then '火曜 9:00～17:00' when k % 2 = 0 then '11:00-14:00' else '' end",
+    "regular_holiday": "case when source = 'google' and k % 2 = 0 then '' when source = 'google' then '火曜' else '不定休あり' end",
+}
+_first = lambda column, order: f"coalesce(arg_min({column}, {order}) filter ({column} <> ''), '')"
+_google, _tabelog, _rich = "place * 10000000000 + record_index", "((place + 2) % 3) * 10000000000 + record_index", "record_index - richness * 10000000000"
 
 
-@query("run_summary")
-def _summary(spark, sf):
-    records = classify(normalize_records(listings(spark, sf).drop("k")), [], config.Options(chain=config.ChainScoring(occurrence_from=1 << 30)))
-    records = materialize(records, "classified")
-    candidates = route(records).candidates
-    matches = materialize(score_pairs(pairs.blocked_pairs(candidates, ("phone", "url"))), "matches")
-    return summarize(records, merge.assign_clusters(candidates, matches), matches).drop("exclude_reasons_stats")
+@query("merged_fields", f"""{RESOLVED_SQL},
+j as (select x.*, l.k, {", ".join(f"{v.replace('source', 'x.source').replace('k %', 'l.k %')} as {n}" for n, v in DETAILS.items())} from x join l on l.record_index = x.record_index),
+mm as (select id, count(*) as times from (select left_idx as id from m union all select right_idx from m) group by 1),
+q as (select cluster, {_first("area", _rich)} as area, {_first("category", _tabelog)} as category, {_first("business_hours", _tabelog)} as hours, {_first("regular_holiday", _google)} as holiday, arg_min(raw_name, {_rich}) as raw_name,
+  arg_min(normalized_url, {_google}) as u, count(*) as n, string_agg(source, ',' order by record_index) as records, string_agg('normalized_record' || repeat(',duplicate_match', coalesce(times, 0)), ',' order by record_index) as logs from j left join mm on id = record_index group by cluster)
+select cluster, area, category, case hours when '火曜 9:00～17:00' then '全日：9:00〜17:00' when '11:00-14:00' then '全日：11:00〜14:00' else '' end as business_hours, case holiday when '' then 'なし' when '火曜' then '火曜' else '不定休' end as regular_holiday,
+  raw_name as primary_name, u || '?x=1' as url, false as flagged, case when n > 1 then 'duplicate' else '' end as reasons, records, logs || ',cluster_merged,output_ready' as codes from q""")
+def _merged(spark, sf):
+    """What merging makes of optional fields, raw columns, flags, reasons, records and logs."""
+    records = listings(spark, sf).withColumns({n: F.expr(v) for n, v in DETAILS.items()}).drop("k")
+    out = run_pipeline(records, OPTIONS).stores
+    of = lambda column, field: F.array_join(F.transform(column, lambda x: x[field]), ",")
+    return out.select("cluster", "area", "category", "business_hours", "regular_holiday", F.col("raw")["name"].alias("primary_name"), "url", (F.col("is_chain") | F.col("chain_flag") | F.col("mall_flag")).alias("flagged"), F.array_join("exclude_reason", "|").alias("reasons"), of("raw_records", "source").alias("records"), of("logs", "code").alias("codes"))
 
 
 # --- Sorts and sinks ------------------------------------------------------------------------------------------------
-@query("phone_first_topk", "select c_custkey, c_name, c_custkey % 4 <> 0 as has_phone from customer order by has_phone desc, c_custkey limit 50")
+@query("phone_first_topk", "select c_custkey as cluster, c_name as name, c_custkey % 4 <> 0 as has_phone from customer order by has_phone desc, c_custkey limit 50")
 def _topk(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", "c_name", (F.col("c_custkey") % 4 != 0).alias("has_phone")).orderBy(F.desc("has_phone"), "c_custkey").limit(50)
+    phone = F.when(F.col("c_custkey") % 4 != 0, F.lit("03-1234-5678")).otherwise(F.when(F.col("c_custkey") % 8 == 0, F.lit(" \u3000")))
+    rows = with_phone_flag(table(spark, sf, "customer").select(F.col("c_custkey").alias("cluster"), F.col("c_name").alias("name"), phone.alias("phone"), F.lit(0).alias("_part")))
+    return phone_first(rows).limit(50).select("cluster", "name", F.col("_has_phone").alias("has_phone"))
 
 
-@query("union_excluded", f"with f as ({FLAGGED}) select record_index, count(*) as times from (select record_index from f where chain_flag union all select record_index from f where mall_flag) group by 1")
+@query("union_excluded", f"{RESOLVED_SQL}, ex as (select record_index, 0 as part from z where chain_flag union all select record_index, 1 from z where raw_address like 'NATION_1%') select part, 'rec_' || record_index as store_id, count(*) over (partition by record_index) as times from ex")
 def _excluded(spark, sf):
-    lists = route(spark.sql(FLAGGED.replace("from customer", f"from parquet.`{sf}/customer.parquet`")))
-    return lists.chain_excluded.unionByName(lists.mall_excluded).groupBy("record_index").agg(F.count("*").alias("times"))
-
-
-@query("export_projection", "select c_name as name, cast(c_nationkey as varchar) as nation, '' as missing, case when c_custkey % 5 = 0 then 'true' else 'false' end as chain_flag from customer")
+    """Chain then mall exclusions as the exporter adds them; a record may be both, and comes twice then."""
+    records = listings(spark, sf).withColumn("url", F.lit("")).drop("k")
+    words = config.MallWords(strict=("nation_1",), floor_words=(), keywords=(), facilities=())
+    done = run_pipeline(records, dataclasses.replace(OPTIONS, exclude_commercial_facilities=True, mall=words))
+    rows = export_rows(done, include_excluded=True).filter("_part > 0")
+    return rows.select((F.col("_part") - 1).alias("part"), "store_id", F.count("*").over(Window.partitionBy("cluster")).alias("times"))
+
+
+@query("export_projection", f"""{RESOLVED_SQL}, s as (select cluster, max(score) as score from m join x on left_idx = record_index group by cluster),
+o as (select x.*, coalesce(score, 0) as score, row_number() over (partition by x.cluster order by {_rich}) as no, row_number() over (partition by x.cluster order by {_google}) as first, count(*) over (partition by x.cluster) as n from x left join s on x.cluster = s.cluster),
+t as (select cluster, max(case when first = 1 then normalized_name end) as normalized_name, max(case when first = 1 then normalized_address end) as normalized_address, max(score) as score, max(n) as n, max(case when no = 1 then raw_name end) as name, max(case when no = 1 then source end) as source, max(case when no = 1 then url end) as url, max(case when no = 1 then raw_phone end) as phone from o group by cluster)
+select name, source, url, phone, normalized_name, normalized_address, cast(score as varchar) as duplicate_score, 'false' as chain_flag, 'false' as mall_flag, case when n > 1 then 'duplicate' else '' end as exclude_reason from t
+union all select raw_name, source, url, raw_phone, normalized_name, normalized_address, cast(k.points + h.points as varchar), 'true', 'false', 'chain_store' from z join k on normalized_name = k.a join h on normalized_name = h.a where chain_flag""")
 def _export(spark, sf):
-    from ..sources.export import export_table
-
-    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("cluster"), F.create_map(F.lit("name"), F.col("c_name"), F.lit("nation"), F.col("c_nationkey").cast("string"), F.lit("Chain_Flag"), F.lit("x"), F.lit("missing"), F.lit(None).cast("string")).alias("raw"), (F.col("c_custkey") % 5 == 0).alias("chain_flag"))
-    empty = {c: F.lit("") for c in ("store_id", "name", "normalized_name", "phone", "normalized_phone", "address", "normalized_address")}
-    stores_like = rows.withColumns(empty).withColumns({"duplicate_score": F.lit(0), "mall_flag": F.lit(False), "exclude_reason": F.array().cast("array<string>")})
-
-    class Rows:
-        stores = stores_like.filter("not chain_flag")
-        chain_excluded = mall_excluded = None
-
-    kept = export_table(Rows).select("name", "nation", "missing", "chain_flag")
-    flagged = stores_like.filter("chain_flag").select(F.col("raw")["name"].alias("name"), F.col("raw")["nation"].alias("nation"), F.lit("").alias("missing"), F.lit("true").alias("chain_flag"))
-    return kept.unionByName(flagged)
+    """What the CSV holds of the whole run, exclusions among it: original columns of the richest record, then the added ones."""
+    done = run_pipeline(listings(spark, sf).drop("k"), OPTIONS)
+    return export_table(done, include_excluded=True).drop("lat", "lng", "address")

@@ -1,11 +1,12 @@
 """Goldens of the scalar functions and of whole runs."""
 
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from mizuhiki import config
+from mizuhiki import cli, config
 from mizuhiki.functions import kernels as k
 from mizuhiki.functions import text as t
 from mizuhiki.operators.classify import classify, heavy_brands, master_brands
@@ -13,8 +14,8 @@ from mizuhiki.operators.components import connected_components
 from mizuhiki.operators.normalize import normalize_records
 from mizuhiki.operators.pairs import all_pairs, block_sizes, blocked_pairs, candidate_pairs
 from mizuhiki.operators.scoring import score_pairs
-from mizuhiki.plans.resolve import run_pipeline
-from mizuhiki.sources.export import csv_text, export_table, json_text, report_sheets, write_xlsx
+from mizuhiki.plans.resolve import process_uploads, run_pipeline, trace
+from mizuhiki.sources.export import csv_text, export_file_name, export_table, json_text, report_sheets, write_xlsx
 from mizuhiki.sources.mapping import detect_source, map_columns
 from mizuhiki.sources.readers import load_chain_names, load_records
 
@@ -156,7 +157,7 @@ def test_run(spark):
     assert out.duplicate_matches.first()["reasons"] == ["phone_match"]
     table = csv_text(export_table(out, include_excluded=True))
     assert table.splitlines()[0].endswith("normalized_name,normalized_address,duplicate_score,chain_flag,mall_flag,exclude_reason") and len(table.splitlines()) == 4
-    assert json.loads(json_text(out))["summary"]["output_count"] == 2
+    assert json.loads(json_text(out))["summary"]["outputCount"] == 2
 
 
 def test_malls_by_source_and_in_full(spark):
@@ -203,13 +204,17 @@ def test_blocks(spark):
         candidate_pairs(df, "none")
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr("mizuhiki.operators.components.SMALL", small)
     chain = [(i, i + 1) for i in range(60)]
     star = [(100, 100 + i) for i in range(1, 50)]
     loops = [(7, 7), (500, 500)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(chain + star + loops + chain[:3], "src long, dst long")).collect()}
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 150), 100)}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+    named = connected_components(spark.createDataFrame([("b", "é"), ("é", "日本"), (None, "b"), ("x", "y")], "src string, dst string"))
+    assert sorted(map(tuple, named.collect())) == [("b", "b"), ("x", "x"), ("y", "x"), ("é", "b"), ("日本", "b")]
 
 
 def test_sources(spark):
@@ -226,7 +231,7 @@ def test_mapping(spark):
     assert r["source"] == "tabelog" and r["business_hours"] == "11:00" and r["regular_holiday"] == "11:00" and r["lat"] == 12.5 and r["raw"]["店舗名"] == "店A"
 
 
-def test_loaders_and_exports(spark, tmp_path):
+def test_loaders_and_exports(spark, tmp_path, monkeypatch):
     a, b, c, broken = tmp_path / "google.csv", tmp_path / "tabelog.json", tmp_path / "sjis.csv", tmp_path / "broken.json"
     a.write_text('﻿name,phone,address,lat,lng,url,source\n"焼肉 大将 渋谷店",03-1234-5678,東京都渋谷区道玄坂1-2-3,35.658,139.701,https://google.com/1,google\n\n,03,x,,,,google\n"居酒屋, ""さくら""",03-1111-2222,a,35.657,139.703,https://google.com/3,google\n', encoding="utf-8")
     b.write_text(json.dumps([{"name": "焼肉大将", "phone": "0312345678", "address": "渋谷区道玄坂一丁目2-3", "lat": 35.65801, "lng": 139.70101, "url": "https://tabelog.com/1", "source": "tabelog"}]), encoding="utf-8")
@@ -248,6 +253,20 @@ def test_loaders_and_exports(spark, tmp_path):
     assert '"居酒屋, ""さくら"""' in text and text.splitlines()[0].startswith("name,phone,address,lat,lng,url,source,店舗名,電話番号,")
     write_xlsx(report_sheets(out), str(tmp_path / "o.xlsx"))
     assert (tmp_path / "o.xlsx").stat().st_size > 1000
+    said = json.loads(json_text(out))
+    assert list(said) == ["summary", "stores", "chainExcluded", "mallExcluded", "duplicateMatches"]
+    assert {"inputCount", "outputCount", "duplicateClusterCount", "excludeReasonsStats"} <= set(said["summary"]) and said["summary"]["outputCount"] == 3
+    store = said["stores"][0]
+    assert {"storeId", "normalizedName", "duplicateScore", "rawRecords", "chain_flag", "exclude_reason", "createdAt", "businessHours"} <= set(store)
+    assert store["logs"][0]["timestamp"].endswith("Z") and {"businessHours", "logs"} <= set(store["rawRecords"][0])
+    assert said["stores"][-1]["lat"] is None
+    match = said["duplicateMatches"][0]
+    assert (match["leftIndex"], match["rightIndex"], match["evaluation"]["pairKey"], match["evaluation"]["matchedOn"]["phone"]) == (0, 2, "0:2", True)
+    assert trace(out.classified).filter("record_index = 3").first().asDict() == {"record_index": 3, "normalized_name": "中華料理屋", "normalized_phone": "0355556666", "normalized_address": "", "chain_matched": None, "chain_score": 0, "mall_matched": False, "excluded": False}
+    monkeypatch.setattr("mizuhiki.sources.export.MAX_ROWS", 2)
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        json_text(out)
+    monkeypatch.undo()
     sheets = report_sheets(out)
     assert sheets["重複排除済み"].count() == 1 and sheets["統合データ"].filter("`重複` = 'あり'").count() == 1
 
@@ -259,3 +278,40 @@ def test_chain_masters(spark, tmp_path):
     assert [load_chain_names(spark, f"file://{tmp_path}/{n}") for n in ("a.json", "b.json", "c.csv")] == [("x", "y"), ("z",), ("foo", "bar")]
     with pytest.raises(ValueError):
         load_chain_names(spark, "file:///tmp/a.xml")
+
+
+def test_uploads(spark):
+    files = [("a/Google map 渋谷.csv", "店名,電話番号\nさくら,03-1111-2222\n,1\n".encode("shift_jis")), ("b", "\ufeffname,phone,source\nさくら 本店,0311112222,x\n鳥貴族,,x\n".encode()), ("empty.csv", b"")]
+    out = process_uploads(spark, files, chain_names=["鳥貴族"])
+    assert out.summary.first()["input_count"] == 3 and out.summary.first()["chain_excluded_count"] == 1
+    assert [(r["n"], r["sources"]) for r in out.stores.select(F.size("raw_records").alias("n"), "sources").collect()] == [(2, ["google", "x"])]
+    for nothing in ([], [("x.csv", b"name\n")]):
+        with pytest.raises(ValueError):
+            process_uploads(spark, nothing)
+
+
+def test_file_names():
+    now = datetime(2026, 1, 2, 3, 4)
+    name = lambda *x: export_file_name(x, "csv", now)
+    assert name() == "店舗統合結果_20260102_0304.csv"
+    assert name("Google Map_渋谷 焼肉！x.y.csv", "b.csv") == "渋谷_焼肉_x_重複統合結果_20260102_0304.csv"
+    assert name("tabelog.csv") == "店舗_重複統合結果_20260102_0304.csv"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "a.csv").write_text("name,phone,address,source\nルミネ食堂,03-1111-2222,x,google\nルミネ食堂 本店,0311112222,x,tabelog\n鳥貴族,,y,google\n", encoding="utf-8")
+    (tmp_path / "chains.json").write_text('["鳥貴族"]', encoding="utf-8")
+    common = ["--input", f"file://{tmp_path}/a.csv", "--chain-db", f"file://{tmp_path}/chains.json"]
+    cli.main([*common, "--output", str(tmp_path / "o.json"), "--report", "--trace", f"file://{tmp_path}/trace"])
+    assert "suspicious_stores" in capsys.readouterr().out
+    assert json.loads((tmp_path / "o.json").read_text())["summary"]["outputCount"] == 1
+    assert spark.read.json(f"file://{tmp_path}/trace").filter("excluded").count() == 1
+    cli.main([*common, "--output", str(tmp_path / "o.csv"), "--includeExcluded"])
+    assert len((tmp_path / "o.csv").read_text().splitlines()) == 3
+    cli.main([*common, "--output", f"file://{tmp_path}/folder"])
+    assert spark.read.json(f"file://{tmp_path}/folder/stores").first()["storeId"]
+    result = run_pipeline(load_records(spark, [f"file://{tmp_path}/a.csv"]))
+    report = cli.issue_report(result)
+    assert report["suspicious_stores"].count() == 1 and report["top_matches"].count() == 1 and report["chain_excluded"].count() == 0
+    n, first = cli.dump(load_records(spark, [f"file://{tmp_path}/a.csv"]))
+    assert n == 3 and first["name"] == "ルミネ食堂" and first["record_index"] == 0

@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -63,16 +64,46 @@ def test_auto_pairing_over_whole_inputs(spark):
 
 @pytest.mark.skipif(not SF.exists(), reason="no test tables here")
 def test_names_make_pairs_of_their_own(spark):
-    got = {n: {tuple(r) for r in engine.QUERIES[n](spark, str(SF)).collect()} for n in ("block_pairs_name", "block_pairs_all")}
-    without = {tuple(r) for r in blocked_pairs(engine.normalized_listings(spark, str(SF), engine.NAMED), tuple(engine.BLOCK_SQL)).select("left_idx", "right_idx").collect()}
-    assert got["block_pairs_name"] - without and got["block_pairs_all"] == got["block_pairs_name"] | without
+    others = tuple(k for k in engine.BLOCK_SQL if k != "name")
+    got = {n: {tuple(r) for r in engine.QUERIES[n](spark, str(SF)).collect()} for n in ("block_pairs_name", "block_pairs_union")}
+    without = {tuple(r) for r in blocked_pairs(engine.normalized_listings(spark, str(SF)), others).select("left_idx", "right_idx").collect()}
+    assert got["block_pairs_name"] - without and got["block_pairs_union"] == got["block_pairs_name"] | without
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no test tables here")
 def test_whole_run_links_listings_without_phone(spark):
-    got = engine.QUERIES["resolve_listings"](spark, str(SF)).collect()
+    got = engine.QUERIES["resolve_stores"](spark, str(SF)).collect()
+    summary = engine.QUERIES["run_summary"](spark, str(SF)).first()
     assert any(r["n_records"] > 1 and not r["phone"] for r in got)
-    assert sum(r["n_records"] for r in got) == engine.listings(spark, str(SF)).count()  # no listing is lost
+    assert summary["chain_excluded_count"] > 0
+    assert sum(r["n_records"] for r in got) + summary["chain_excluded_count"] == engine.listings(spark, str(SF)).count()  # no listing is lost
+
+
+def test_large_blocks_are_parted(spark, monkeypatch):
+    """Sub-blocks make the same pairs, each once."""
+    rows = [(i, "same name" if i % 2 else f"{i:05d}", f"{i % 7}", "", "", None, None) for i in range(120)]
+    df = spark.createDataFrame(rows, "record_index long, normalized_name string, normalized_phone string, normalized_address string, normalized_url string, lat double, lng double")
+    want = sorted((i, j) for i in range(120) for j in range(i + 1, 120) if i % 7 == j % 7 or i % 2 and j % 2)
+    for share in (1000, 1):
+        monkeypatch.setattr("mizuhiki.operators.pairs.SHARE", share)
+        assert sorted(map(tuple, blocked_pairs(df).select("left_idx", "right_idx").collect())) == want
+
+
+def test_frequent_keys_stay_in_place(spark, monkeypatch):
+    from mizuhiki.operators.skew import look_up, salted_join
+
+    rows = [(None if i % 50 == 0 else min(i % 97, 9), i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, i int")
+    table = df.filter("k is not null and k <> 3").groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("most"))
+    most = {r["k"]: r["most"] for r in table.collect()}
+    for share in (1000, 3, 1):
+        monkeypatch.setattr("mizuhiki.operators.skew.SHARE", share)
+        for how in ("inner", "left"):
+            got = sorted(map(str, look_up(df, table, ["k"], how=how).collect()))
+            assert got == sorted(str(Row(k=k, i=i, most=most.get(k))) for k, i in rows if how == "left" or k in most)
+        salted = salted_join(df, table.withColumnRenamed("k", "key"), "k", "key", F.col("i"))
+        assert sorted(tuple(r) for r in salted.select("k", "i", "most").collect()) == sorted((k, i, most[k]) for k, i in rows if k in most)
+    assert look_up(df, table.limit(0), ["k"], how="left").count() == 1000
 
 
 def test_best_name_similarity(spark):
