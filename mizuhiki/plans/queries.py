@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from .. import config
 from ..functions import text as t
-from ..functions.kernels import jaro_winkler_udf, to_fixed
+from ..functions.kernels import jaro_winkler_udf, nfkc, to_fixed
 from ..operators import merge, pairs
 from ..operators.classify import brand_matches, classify, heavy_brands, master_brands, route
 from ..operators.components import connected_components
@@ -151,6 +151,32 @@ def _name(spark, sf):
     return table(spark, sf, "part").select("p_partkey", t.normalize_name(F.concat(F.lit("株式会社 "), F.expr(BRANCH), F.col("p_name"))).alias("name"))
 
 
+@query("nfkc", "select p_partkey, p_name || '①㍿ｶﾞ' as wide, p_name || '1株式会社ガ' as folded from part")
+def _nfkc(spark, sf):
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    wide = F.translate("p_name", letters, "".join(chr(ord(c) + 0xFEE0) if c != " " else "\u3000" for c in letters))
+    return table(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit("①㍿ｶﾞ")).alias("wide"), nfkc(F.concat(wide, F.lit("①㍿ｶﾞ"))).alias("folded"))
+
+
+@query("clean_brackets", "select p_partkey, p_name || case p_partkey % 3 when 0 then '駅前店' when 1 then '(駅前)' else '（駅前店）x' end as name from part")
+def _brackets(spark, sf):
+    said = F.when(F.col("p_partkey") % 3 == 0, "（駅前店）").when(F.col("p_partkey") % 3 == 1, "(駅前)").otherwise("（駅前店）x")
+    return table(spark, sf, "part").select("p_partkey", t.clean_brackets(F.concat("p_name", said)).alias("name"))
+
+
+@query("branch_signal", f"with n as (select p_partkey, {BRANCH} as raw from part) select p_partkey, p_partkey % 5 <> 3 as branch from n")
+def _branch_signal(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.expr(BRANCH).alias("raw")).select("p_partkey", t.has_branch_suffix(F.col("raw")).alias("branch"))
+
+
+@query("mall_words", "select p_partkey, case p_partkey % 5 when 0 then 'ルミネ' when 1 then 'floor_with_百貨店' when 2 then 'イクスピアリ' when 3 then '光が丘IMA' end as pattern from part")
+def _mall_words(spark, sf):
+    """The dictionaries that come with the package: strict words, floors, keywords and listed facilities."""
+    said = F.element_at(F.array(*(F.lit(x) for x in ("ルミネ 3F モール", "3階 百貨店", "ｲｸｽﾋﾟｱﾘ", "光が丘ima", "道"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    rows = table(spark, sf, "part").select("p_partkey", t.mall_text(F.lit("店"), said).alias("s"))
+    return rows.select("p_partkey", t.mall_pattern(F.col("s")).alias("pattern"))
+
+
 @query("normalize_address", "select n_nationkey, lower(regexp_replace(n_name, '[ ]', '', 'g')) || cast(n_nationkey as varchar) || '-12-' || cast(n_nationkey % 7 as varchar) as address from nation")
 def _address(spark, sf):
     raw = F.concat("n_name", F.lit(" "), F.col("n_nationkey").cast("string"), F.lit("丁目十二番"), (F.col("n_nationkey") % 7).cast("string"), F.lit("号 3階"))
@@ -181,6 +207,13 @@ def _jaro(spark, sf):
     return both.select(F.col("a.n_nationkey").alias("l"), F.col("b.n_nationkey").alias("r"), jaro_winkler_udf(F.col("a.n_name"), F.col("b.n_name")).alias("similarity"))
 
 
+@query("best_name_similarity", f"with n as (select a.n_nationkey as l, b.n_nationkey as r, a.n_name as a, b.n_name as b from nation a join nation b on a.n_nationkey < b.n_nationkey), {jaro_winkler_sql('n', 'w')} select l, r, greatest(similarity, 1 - levenshtein(n.a, n.b) / greatest(length(n.a), length(n.b))) as similarity from n join w on n.a = w.a and n.b = w.b")
+def _best_similarity(spark, sf):
+    n = table(spark, sf, "nation")
+    both = n.alias("a").join(F.broadcast(n.alias("b")), F.col("a.n_nationkey") < F.col("b.n_nationkey"))  # 25 rows
+    return both.select(F.col("a.n_nationkey").alias("l"), F.col("b.n_nationkey").alias("r"), t.best_name_similarity(F.col("a.n_name"), F.col("b.n_name")).alias("similarity"))
+
+
 POINTS = "35 + (n_nationkey % 5) * 0.01 as lat, 139 + n_nationkey * 0.001 as lng"
 
 
@@ -406,9 +439,8 @@ p as (select l.record_index as left_idx, r.record_index as right_idx, l.normaliz
   from n l join n r on l.record_index < r.record_index and l.normalized_phone = r.normalized_phone and l.normalized_phone <> '')"""
 
 
-def matches_sql(pair_sql: str) -> str:
+def matches_sql(pair_sql: str, s: config.DuplicateScoring = config.DuplicateScoring()) -> str:  # noqa: B008
     """Tables of a WITH clause after n: `p`, the pairs (left_idx, right_idx) of pair_sql, and `m`, those that a rule accepts."""
-    s = config.DuplicateScoring()
     numbers = lambda side: f"regexp_extract_all({side}.normalized_address, '[0-9]+')[1:3]"
     both = ", ".join(f"{side}.normalized_{x} as {side}_{x}" for side in "lr" for x in ("name", "phone", "address", "url"))
     h = "power(sin(radians(r.lat - l.lat) / 2), 2) + cos(radians(l.lat)) * cos(radians(r.lat)) * power(sin(radians(r.lng - l.lng) / 2), 2)"
@@ -441,6 +473,15 @@ def _scores(spark, sf):
     return score_pairs(pairs.blocked_pairs(normalized_listings(spark, sf))).select("left_idx", "right_idx", "score", F.array_join("reasons", ",").alias("reasons"), "name_similarity", "distance_meters")
 
 
+STRICT = config.DuplicateScoring(phone_match=7, url_match=6, distance_match=3, phone_name_guard=0.9, name_similarity=0.95, address_similarity=0.9, distance_meters=5.0, distance_name_similarity=0.5)
+
+
+@query("score_pairs_strict", f"with {NORMAL_SQL}, {matches_sql(UNION_SQL, STRICT)} select left_idx, right_idx, score, reasons from m")
+def _strict_scores(spark, sf):
+    """The same with other points and thresholds."""
+    return score_pairs(pairs.blocked_pairs(normalized_listings(spark, sf)), STRICT).select("left_idx", "right_idx", "score", F.array_join("reasons", ",").alias("reasons"))
+
+
 @query("address_numbers", f"with l as ({LISTINGS}) select record_index, array_to_string(regexp_extract_all(address, '[0-9]+')[1:3], ',') as numbers from l")
 def _numbers(spark, sf):
     return listings(spark, sf).select("record_index", F.array_join(first_numbers(F.col("address")), ",").alias("numbers"))
