@@ -96,8 +96,8 @@ with s as (select source, count(*) as n from documents group by source),
 r as (select source, cast((select sum(n) from s) as double) * 1.0 / cast((select count(*) from s) as double) / n as rate from s),
 k as (select source, rate, cast(unnest(range(0, cast(ceil(rate + 12.0 * sqrt(rate) + 30.0) as bigint) + 1)) as double) as k from r),
 c as (select source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) over (partition by source order by k) as p from k),
-u as (select d.*, cast(cast('0x' || substr(md5('count{SEED}:' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) as double) / 4503599627370496.0 as u from documents d),
-m as (select u.doc_id, u.text, u.lang, u.source, u.n_chars, cast(sum(case when c.p <= u.u then 1 else 0 end) as integer) as n_copies
+u as (select d.*, row_number() over () as rid, cast(cast('0x' || substr(md5('count{SEED}:' || coalesce(cast(doc_id as varchar), '')), 1, 13) as bigint) as double) / 4503599627370496.0 as u from documents d),
+m as (select u.rid, u.doc_id, u.text, u.lang, u.source, u.n_chars, cast(sum(case when c.p <= u.u then 1 else 0 end) as integer) as n_copies
   from u join c on u.source is not distinct from c.source group by all),
 x as (select *, cast(unnest(range(0, cast(n_copies as bigint))) as integer) as copy from m where n_copies > 0)
 select doc_id, text, lang, source, n_chars, n_copies, copy, md5('order{SEED}:' || coalesce(cast(doc_id as varchar), '') || ':' || cast(copy as varchar)) as mix_key from x

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import look_up
-from ..session import discard, materialize, scratch_root
+from ..session import discard, materialize, scratch_path
 
 CRLF = "\r\n"
 #: The alphabet of base32 (RFC 4648), and Spark's digits of a number to the base 32.
@@ -47,7 +47,7 @@ def _stored(payloads: DataFrame) -> DataFrame:
     spark = payloads.sparkSession
     name = f"mizuhiki_warc_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    payloads.write.format("parquet").bucketBy(buckets, "digest").option("path", f"{scratch_root(spark)}/mizuhiki-warc-payloads-{name}").saveAsTable(name)
+    payloads.write.format("parquet").bucketBy(buckets, "digest").option("path", scratch_path(spark, "warc-payloads")).saveAsTable(name)
     back = spark.table(name)
     spark.sql(f"drop table {name}")  # an entry of the catalog; its files stay
     return back
