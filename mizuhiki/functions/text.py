@@ -14,8 +14,8 @@ from .kernels import address_kernel, jaro_winkler_udf, nfkc, to_fixed, web_url_u
 WS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 _SYMBOLS = r"""[【】\[\]()（）<>「」『』'"`.,，、。!！?？:：;；~〜·・/\\|]"""
 _NUMERAL = "[0-9一二三四五六七八九十]+"
-_FIXED_SUFFIX = r"(?:総本店|本店|支店|本館|別館|新館|駅前店|[東西南北]口店|[0-9]+号店)\z"
-_PLACE_SUFFIX = r"(?:駅前?|インター|通り?|[東西南北]口|モール)店\z"
+_FIXED_SUFFIX = r"総本店|本店|支店|本館|別館|新館|駅前店|[東西南北]口店|[0-9]+号店"
+_PLACE_SUFFIX = r"(?:駅前?|インター|通り?|[東西南北]口|モール)店"
 _HINTS = "駅口通町市区郡県都府谷坂川前橋丘島北南東西"
 
 
@@ -53,38 +53,37 @@ def clean_brackets(c: Column) -> Column:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once: columns that a chain of conditions repeats would double with each step, past what
-    generated code may hold. No UDF can be in body."""
+    generated code may hold. No UDF can be in body, and Spark can't pass the result to a UDF: names, addresses and numbers,
+    which are, do without."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _unless_short(before: Column, change: Callable[[Column], Column]) -> Column:
-    """change(before) if two characters remain, else before."""
-    return let(before, lambda b: let(change(b), lambda a: F.when(F.length(a) >= 2, a).otherwise(b)))
+def _cut(suffix: str) -> str:
+    """A pattern for what precedes a suffix (group 1), where the longest one leaves two characters at least; no match else."""
+    return rf"(?!.{{0,1}}(?:{suffix})\z)(.{{2,}}?)(?:{suffix})"
 
 
-def strip_branch_suffix(c: Column) -> Column:
-    """The name without its branch: fixed suffixes, then places; never down to a single character."""
-    return let(trim_ws(c), lambda t: F.when(F.length(t) < 4, t).otherwise(let(_without_suffix(t), _without_place)))
-
+#: The last step: the first of these that fits. Suffixes of the first two have 3 and 4 characters.
+_LAST_SUFFIX = rf"(?s)^(?:(.{{2,}})(?:.[{_HINTS}]|丁目)店|(.{{2,}})(?:モール|プラザ|パーク)店|{_cut('[一-龠ァ-ヶー]{2,4}店')})\z"
 
-def _without_suffix(trimmed: Column) -> Column:
-    s = _unless_short(clean_brackets(trimmed), lambda x: F.regexp_replace(x, _FIXED_SUFFIX, ""))
-    return _unless_short(s, lambda x: F.regexp_replace(x, _PLACE_SUFFIX, ""))
 
+def strip_branch_suffix(c: Column) -> Column:
+    """The name without its branch: fixed suffixes, then places; never down to a single character.
 
-def _without_place(s: Column) -> Column:
-    drop = lambda n: F.substring(s, F.lit(1), F.length(s) - n)
-    return (
-        F.when(s.rlike(rf"(?s)^.{{2,}}(?:.[{_HINTS}]|丁目)店\z"), drop(3))
-        .when(s.rlike(r"(?s)^.{2,}(?:モール|プラザ|パーク)店\z"), drop(4))
-        .otherwise(_unless_short(s, lambda x: F.regexp_replace(x, r"[一-龠ァ-ヶー]{2,4}店\z", "")))
-    )
+    Each step is one replacement, so that its input occurs once: conditions that repeat it would double with every step.
+    Names of less than four characters can't fit any.
+    """
+    s = clean_brackets(trim_ws(c))
+    for suffix in (_FIXED_SUFFIX, _PLACE_SUFFIX):
+        s = F.regexp_replace(s, rf"(?s)^{_cut(suffix)}\z", "$1")
+    return F.regexp_replace(s, _LAST_SUFFIX, "$1$2$3")
 
 
 def normalize_name(c: Column, remove_business_words: bool = False) -> Column:
     s = strip_branch_suffix(strip_corporate_words(F.lower(nfkc(text_or_empty(c)))))
     s = remove_symbols(F.regexp_replace(s, rf"[{WS}・\-]+", ""))
-    s = _unless_short(s, lambda x: F.regexp_replace(x, "本店|支店|号店|店|階|[Ff]", ""))
+    shorter = F.regexp_replace(s, "本店|支店|号店|店|階|[Ff]", "")
+    s = F.when(F.length(shorter) >= 2, shorter).otherwise(s)
     if remove_business_words:
         s = F.regexp_replace(strip_business_words(s), rf"[{WS}]+", "")
     return trim_ws(s)
@@ -147,8 +146,8 @@ def _plain_url(lowered: Column) -> Column:
 def safe_number(c: Column) -> Column:
     """A double if the whole text is a finite number, else null."""
     s = trim_ws(c.cast("string"))
-    number = let(s, lambda x: F.when(x.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), x.try_cast("double")))
-    return let(number, lambda n: F.when(F.abs(n) < float("inf"), n))
+    number = F.when(s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"), s.try_cast("double"))
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 # --- Similarity, geometry, digests ----------------------------------------------------------------------------------
@@ -192,7 +191,7 @@ def has_branch_suffix(raw_name: Column) -> Column:
 
 
 def _ends_like_branch(s: Column) -> Column:
-    return s.rlike(_FIXED_SUFFIX) | s.rlike(_PLACE_SUFFIX) | s.rlike(rf"(?:[{_HINTS}]|丁目|モール|プラザ|パーク)店\z")
+    return s.rlike(rf"(?:{_FIXED_SUFFIX}|{_PLACE_SUFFIX})\z") | s.rlike(rf"(?:[{_HINTS}]|丁目|モール|プラザ|パーク)店\z")
 
 
 def mall_text(name: Column, address: Column, fold: bool = True) -> Column:

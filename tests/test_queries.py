@@ -81,7 +81,7 @@ def test_whole_run_links_listings_without_phone(spark):
 
 def test_large_blocks_are_parted(spark, monkeypatch):
     """Sub-blocks make the same pairs, each once."""
-    rows = [(i, "same name" if i % 2 else f"{i:05d}", f"{i % 7}", "", "", None, None) for i in range(120)]
+    rows = [(i, "same name" if i % 2 else f"{i:04d}", f"p{i % 7}", "", "", None, None) for i in range(120)]
     df = spark.createDataFrame(rows, "record_index long, normalized_name string, normalized_phone string, normalized_address string, normalized_url string, lat double, lng double")
     want = sorted((i, j) for i in range(120) for j in range(i + 1, 120) if i % 7 == j % 7 or i % 2 and j % 2)
     for share in (1000, 1):
