@@ -2,7 +2,9 @@
 
 A text belongs to the language whose dictionary makes it smallest. Null texts and texts without a letter are `und`
 with score 0 and are never accepted. Ties go to the language that sorts first, with score 0. Repeated rows get equal
-predictions; extra columns pass through `classify`. Without a single usable training row everything is `und`.
+predictions. Very long texts are compressed whole, piece by piece. Extra columns pass through `classify`, but those named as
+a result column are replaced by it. Without a single usable training row everything is `und`; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -91,7 +93,8 @@ SAID = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: int = 1, min_score: float = 0.005) -> DataFrame:
-    """docs with lang_pred, score, margin and accepted: false for `und` and for margins that are narrow."""
+    """docs with lang_pred, score, margin and accepted: false for `und` and for margins that are narrow. Columns of docs with
+    these names are replaced."""
     model = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     # an Arrow UDF: only texts go to the worker and only verdicts come back; nondeterministic for the optimizer, which
@@ -102,8 +105,8 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
         said = [judge_one(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays([pa.array([x[i] for x in said], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.int64()))], names=["lang_pred", "score", "margin"])
 
-    said = docs.withColumn("_said", judge.asNondeterministic()(F.col(text_col)))
-    out = said.withColumns({c: F.col(f"_said.{c}") for c in ("lang_pred", "score", "margin")}).drop("_said")
+    said = docs.withColumn("_langid", judge.asNondeterministic()(F.col(text_col)))
+    out = said.withColumns({c: F.col(f"_langid.{c}") for c in ("lang_pred", "score", "margin")}).drop("_langid")
     accepted = (F.col("lang_pred") != "und") & (F.col("margin") >= min_margin) & (F.col("score") >= min_score)
     return out.withColumn("accepted", accepted)
 

@@ -1,7 +1,9 @@
 """SimHash near-duplicates by multi-index hashing.
 
 Null and empty texts have no word: fingerprint zero, linked like any other. Repeated rows keep their own output rows.
-Extra columns of the input are ignored. An empty table gives an empty result.
+Very long texts are hashed whole, one after the other. Bits that tie, set in just half the hashes, are 0. Null ids belong to
+a group like others and are never its least id. Extra columns of the input are ignored here, whatever their names, and pass
+through `drop_near_duplicates`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..session import materialize
+from ..operators.skew import look_up
+from ..session import discard, materialize
+from .batches import pieces
 
 SEED = 42
 DISTANCE = 3
@@ -125,6 +129,7 @@ def hamming_links(fps: DataFrame, distance: int = DISTANCE, dense: int = 2048) -
     hits = probes.join(filed.select("seg", "key").distinct(), ["seg", "key"], "left_semi")
     rows = filed.withColumn("probe", F.lit(False)).unionByName(hits)
     rows = materialize(rows, "buckets")
+    discard(filed)
     sizes = rows.groupBy("seg", "key").agg(F.count("*").alias("n")).filter("n > 1")
     rows = rows.join(sizes, ["seg", "key"])
     plain = rows.filter(F.col("n") <= dense).select("seg", "key", "fp", "probe")
@@ -139,12 +144,14 @@ def hamming_links(fps: DataFrame, distance: int = DISTANCE, dense: int = 2048) -
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = DISTANCE, dense: int = 2048) -> DataFrame:
     """(id_col, fp, component_id): component_id is the least id reachable over links of at most `distance` bits."""
     marked = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    held = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
+    held = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "distinct")
     parts = connected_components(hamming_links(held, distance, dense), "a", "b").withColumnsRenamed({"id": "fp", "component": "part"})
     joined = held.join(parts, "fp", "left")
     lows = joined.filter("part is not null").groupBy("part").agg(F.min("least").alias("low"))
-    classes = joined.join(lows, "part", "left").select("fp", F.coalesce("low", "least").alias("component_id"))
-    return marked.join(classes, "fp").select(id_col, "fp", "component_id")
+    classes = materialize(joined.join(lows, "part", "left").select("fp", F.coalesce("low", "least").alias("component_id"), "n"), "classes")
+    discard(held)
+    # the fingerprint of copies, or of empty texts, may be that of a third of all rows
+    return look_up(marked, classes, ["fp"]).select(id_col, "fp", "component_id")
 
 
 #: Bands of the signature for the similarity mode: two texts with a Jaccard similarity of 0.8 share one of them with
@@ -164,8 +171,8 @@ def _bands(hashes: np.ndarray) -> list[int]:
 
 
 def _digest(text: Column) -> Column:
-    """Of the text; the same for all texts without a word. Texts that differ in case or blanks only are linked by bands."""
-    return F.md5(F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(""))
+    """SHA-256 of the text; the same for all texts without a word. Texts that differ in case or blanks only are linked by bands."""
+    return F.unhex(F.sha2(F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(""), 256))
 
 
 #: Texts of a block; a task holds the shingle sets of two blocks.
@@ -200,7 +207,7 @@ def _across(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: list[tuple[str, str]] = []
+            found: list[tuple[bytes, bytes]] = []
             for members in b.column(0):
                 own = {m["digest"].as_py(): m["hashes"].as_py() for m in members}
                 names = sorted(own)
@@ -215,7 +222,7 @@ def _across(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                         unseen[near] = False
                         stack.extend(near.tolist())
                         found.extend((names[i], names[k]) for k in near)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], names=["center", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], names=["center", "digest"])
 
     counts = rows.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
     sizes = counts.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"))
@@ -227,17 +234,14 @@ def _across(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     every = dealt.withColumn("j", block("all")).withColumn("i", upto("few"))
     both = few.select("digest", "band", "key", "i", "j").unionByName(every.select("digest", "band", "key", "i", "j")).distinct()
     groups = both.join(sets, "digest").groupBy("band", "key", "i", "j").agg(F.collect_list(F.struct("digest", "hashes")).alias("members"))
-    return groups.filter("size(members) > 1").select("members").mapInArrow(run, "center string, digest string").distinct()
+    return groups.filter("size(members) > 1").select("members").mapInArrow(run, "center binary, digest binary").distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, digest, copies, component, keeper): for each distinct id and text, its group and whether it's the one that stays.
+def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, digest) of each row; (digest, component, n) of each distinct text, n of its rows; (component, first, n) of each group.
 
-    Texts link if the Jaccard similarity of their shingle sets is at least `similarity`; components of links are the
-    groups. Equal texts are one, and so are all without a word. A 64-bit SimHash can't find
-    these links (the README has figures), so candidates come from bands of min-hashes of the same shingles and are
-    verified with the whole sets. In each band, all texts are held against the least one, so a large group of copies
-    makes as many edges as rows; those that these links leave apart are held against all others of the band, in blocks
+    Candidates come from bands of min-hashes and are verified with the whole sets. In each band, all texts are held
+    against the least one, so a large group of copies makes as many edges as rows; those that these links leave apart are held against all others of the band, in blocks
     that bound what a task holds, and a spanning forest of their links is kept. No cap cuts off a link.
     """
 
@@ -247,7 +251,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_bands(h) if len(h) else [] for h in sets], pa.list_(pa.int64()))], names=["id", "digest", "bands"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 1):
             sets = pa.array((np.unique(shingle_hashes(t.as_py(), words)).astype("<u8").tobytes() for t in b.column(1)), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), sets], names=["digest", "hashes"])
 
@@ -262,47 +266,65 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), _digest(F.col(text_col)).alias("digest"), F.col(text_col).cast("binary").alias("text"))
-    signed = materialize(rows.mapInArrow(sign, f"id {kind}, digest string, bands array<long>"), "signed")
+    signed = materialize(rows.mapInArrow(sign, f"id {kind}, digest binary, bands array<long>"), "signed")
     # digests are in no order that has to do with texts: the least of a band is its center
     left = signed.select("digest", F.posexplode("bands").alias("band", "key")).distinct()
     sizes = left.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     left = materialize(left.join(sizes, ["band", "key"]), "bands")
     # one row for each text that has a candidate; by id and text, as either may be that of a third of all rows
-    firsts = signed.groupBy("digest").agg(F.min("id").alias("id"))
-    wanted = left.select("digest").distinct().join(firsts, "digest").select(F.col("digest").alias("_d"), F.col("id").alias("_i"))
+    least = F.min(F.struct("id"))["id"]  # nulls first
+    texts = materialize(signed.groupBy("digest").agg(least.alias("id"), F.count("*").alias("n")), "texts")
+    wanted = left.select("digest").distinct().join(texts, "digest").select(F.col("digest").alias("_d"), F.col("id").alias("_i"))
     found = rows.join(wanted, (F.col("digest") == F.col("_d")) & F.col("id").eqNullSafe(F.col("_i"))).groupBy("digest").agg(F.first("text").alias("text"))
-    sets = materialize(found.mapInArrow(gather, "digest string, hashes binary"), "sets")
+    sets = materialize(found.mapInArrow(gather, "digest binary, hashes binary"), "sets")
     # each text against the least one of its band
     centers = left.groupBy("band", "key").agg(F.min("digest").alias("center"))
     rest = left.join(centers, ["band", "key"]).filter("digest <> center")
     pairs = rest.select("center", "digest").distinct()
     full = pairs.join(sets.withColumnsRenamed({"hashes": "x", "digest": "center"}), "center").join(sets.withColumnRenamed("hashes", "y"), "digest")
-    judged = materialize(full.select("center", "digest", "x", "y").mapInArrow(verify, "center string, digest string, alike boolean"), "judged")
+    judged = materialize(full.select("center", "digest", "x", "y").mapInArrow(verify, "center binary, digest binary, alike boolean"), "judged")
     links = judged.filter("alike").select("center", "digest")
     # then what these links leave apart within a band
     labels = connected_components(links, "center", "digest").select(F.col("id").alias("digest"), "component")
-    labelled = left.join(labels, "digest", "left").select("band", "key", "digest", F.coalesce("component", "digest").alias("label"))
-    links = links.unionByName(materialize(_across(materialize(labelled, "labelled"), sets, similarity), "links"))
-    ids = signed.groupBy("id", "digest").agg(F.count("*").alias("copies"))
+    labelled = materialize(left.join(labels, "digest", "left").select("band", "key", "digest", F.coalesce("component", "digest").alias("label")), "labelled")
+    links = links.unionByName(materialize(_across(labelled, sets, similarity), "links"))
     parts = connected_components(links, "center", "digest").withColumnRenamed("id", "digest")
-    ids = ids.join(parts, "digest", "left")
-    ids = materialize(ids.select("id", "digest", "copies", F.coalesce("component", "digest").alias("component")), "groups")
-    stays = ids.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("first"))
-    joined = ids.join(stays, "component")
+    for x in (left, sets, labelled):
+        discard(x)
+    grouped = materialize(texts.join(parts, "digest", "left").select("digest", "id", F.coalesce("component", "digest").alias("component"), "n"), "groups")
+    stays = materialize(grouped.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("first"), F.sum("n").alias("n")), "stays")
+    discard(texts)
+    return signed.select("id", "digest"), grouped.select("digest", "component", "n"), stays
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, digest, copies, component, keeper): for each distinct id and text, its group and whether it's the one that stays.
+
+    Texts link if the Jaccard similarity of their shingle sets is at least `similarity`; components of links are the
+    groups. Equal texts are one, and so are all without a word. A 64-bit SimHash can't find these links (the README has
+    figures), so candidates come from bands of min-hashes of the same shingles and are verified with the whole sets.
+    """
+    signed, grouped, stays = _groups(docs, id_col, text_col, words, similarity)
+    ids = materialize(signed.groupBy("id", "digest").agg(F.count("*").alias("copies")), "ids")
+    joined = materialize(look_up(ids, grouped, ["digest"]), "ids")
+    joined = look_up(joined, stays, ["component"])
     return joined.select("id", "digest", "copies", "component", (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))).alias("keeper"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of `near_duplicate_groups`: that of the least id (nulls first), then digest."""
-    groups = near_duplicate_groups(docs, id_col, text_col, words, similarity)
-    keepers = materialize(groups.filter("keeper").select(F.col("id").alias("_i"), F.col("digest").alias("_d"), "copies"), "keepers")
+    signed, _, stays = _groups(docs, id_col, text_col, words, similarity)
+    repeated = materialize(signed.groupBy("id", "digest").agg(F.count("*").alias("copies")).filter("copies > 1"), "repeated")
+    keepers = stays.select(F.col("first.id").alias("_i"), F.col("first.digest").alias("_d"))
     packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), _digest(F.col(text_col)).alias("_digest"))
-    joined = packed.join(keepers, (F.col("_digest") == F.col("_d")) & F.col("_id").eqNullSafe(F.col("_i")))
-    if keepers.filter("copies > 1").isEmpty():
-        return joined.select("_row.*")
+    if repeated.isEmpty():
+        return packed.join(keepers, (F.col("_digest") == F.col("_d")) & F.col("_id").eqNullSafe(F.col("_i"))).select("_row.*")
     # rows with both an id and a text in common are one
+    keepers = keepers.join(repeated, (F.col("_d") == F.col("digest")) & F.col("_i").eqNullSafe(F.col("id")), "left").select("_i", "_d", "copies")
+    keepers = materialize(keepers, "keepers")
+    joined = packed.join(keepers, (F.col("_digest") == F.col("_d")) & F.col("_id").eqNullSafe(F.col("_i")))
     several = joined.filter("copies > 1").groupBy("_id", "_digest").agg(F.first("_row").alias("_row"))
-    return joined.filter("copies = 1").select("_row").unionByName(several.select("_row")).select("_row.*")
+    return joined.filter("copies is null").select("_row").unionByName(several.select("_row")).select("_row.*")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
