@@ -2,7 +2,10 @@
 
 Frames are lossless JPEG (ITU-T T.81, process 14, predictor 1) of 8-bit samples, 64 a row. Their Huffman table gives
 each difference 9 bits in all (9 - s for its category s, and s more), so both directions work on whole arrays.
-Null payloads are empty. Equal payloads give equal files. Repeated rows are treated alike, extra columns pass through.
+Null payloads are empty. Equal payloads give equal files, so repeated rows are treated alike; of differences that tie with a
+threshold none is a cut. A payload of any length is one file, and a worker holds some megabytes of files, or one that is
+longer. Extra columns pass through, but those named as a result column are replaced by it. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import pieces
+
 WIDTH, ROWS, FRAME_US = 64, 64, 40_000
 CLIP = T.ArrayType(T.StructType([T.StructField("clip", T.IntegerType()), T.StructField("start_ms", T.LongType()), T.StructField("end_ms", T.LongType()), T.StructField("frames", T.IntegerType()), T.StructField("mean", T.DoubleType())]))
 
@@ -151,8 +156,8 @@ def encode_media(rows: DataFrame, payload_col: str, out_col: str = "media") -> D
     fields = T.StructType([*(rows.schema[c] for c in kept), T.StructField(out_col, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            last = len(kept)
+        last = len(kept)
+        for b in pieces(batches, last):
             files = pa.array((write_avi(_pad(p.as_py() or b"")) for p in b.column(last)), pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:last], files], names=[*kept, out_col])
 
@@ -160,16 +165,21 @@ def encode_media(rows: DataFrame, payload_col: str, out_col: str = "media") -> D
 
 
 def decode_media(rows: DataFrame, media_col: str = "media") -> DataFrame:
-    """rows with payload (binary, all samples) and clips (array of timed clip rows) in place of media_col."""
+    """rows with payload (binary, all samples) and clips (array of timed clip rows) in place of media_col, and of columns of
+    these names. Null files give null payloads and clips."""
     kept = [c for c in rows.columns if c not in (media_col, "payload", "clips")]
     fields = T.StructType([*(rows.schema[c] for c in kept), T.StructField("payload", T.BinaryType()), T.StructField("clips", CLIP)])
     arrow = pa.list_(pa.struct([("clip", pa.int32()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("frames", pa.int32()), ("mean", pa.float64())]))
     names = [f.name for f in CLIP.elementType.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, len(kept)):
             payloads, found = [], []
             for m in b.column(len(kept)):
+                if not m.is_valid:
+                    payloads.append(None)
+                    found.append(None)
+                    continue
                 frames = [decode_frame(f) for f in read_frames(m.as_py())]
                 payloads.append(b"".join(f.tobytes() for f in frames))
                 found.append([dict(zip(names, c)) for c in clips(frames)])

@@ -210,7 +210,7 @@ def encode(docs: DataFrame, content: str, text_col: str = "text", out_col: str =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, back = _kept(Encoder, shared.value), _kept(Decoder, shared.value) if decoded_col else None
-        for b in pieces(batches):
+        for b in pieces(batches, at):
             ids = [one.encode(t.as_py()) for t in b.column(at)]
             new = [pa.array(ids, pa.binary())]
             if back is not None:
@@ -227,7 +227,7 @@ def decode(rows: DataFrame, content: str, ids_col: str = "ids", out_col: str = "
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = _kept(Decoder, shared.value)
-        for b in pieces(batches):
+        for b in pieces(batches, at):
             texts = pa.array((one.decode(t.as_py() or b"") for t in b.column(at)), pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, out_col])
 
