@@ -179,7 +179,7 @@ def test_quality_verdicts(spark, docs, nothing):
     measured = materialize(quality.measures(df), "m")
     limits = quality.fences(measured)
     assert all(r["kept"] != r["bad"] for r in quality.judge(measured, limits).collect())
-    usual = {r["source"]: r["symbol_ratio_fence"] for r in limits.collect()}
+    usual = {r["source"]: r["symbol_ratio_high"] for r in limits.collect()}
     assert usual["tables"] > usual["s0"]
     m = quality.measures(docs.select("text", "lang", "source"))
     assert quality.judge(m, quality.fences(m)).count() == docs.count()  # null languages and sources, groups that fail as a whole
@@ -202,14 +202,59 @@ def test_quality_fences_follow_sketches(spark):
     assert {r["k"] for r in judged if r["source"] == "prose" and not r["kept"]} == set(range(20))
     assert all(r["kept"] for r in judged if r["source"] == "logs")
     of = {r["source"]: r for r in limits.collect()}
-    assert all(of["logs"][f"{r}_fence"] > of["prose"][f"{r}_fence"] for r in quality.RATIOS)
+    assert all(of["logs"][f"{r}_high"] > of["prose"][f"{r}_high"] for r in quality.RATIOS)
     # nothing passes the base rules: no fence, and no row is kept
     failed = measured.withColumn("base_failed", F.lit(True))
     none = quality.fences(failed)
-    assert all(r["symbol_ratio_fence"] is None for r in none.collect())
+    assert none.count() == 0
     assert quality.judge(failed, none).filter("kept").count() == 0
 
 
+def test_quality_fences_by_brute_force(spark):
+    """Quantiles of sorted ratios, drawn to coarser groups; small and large groups, nulls, ties."""
+    rng = random.Random(9)
+    rows = []
+    for lang, source, n in (("xx", "a", 500), ("xx", "b", 7), ("yy", "a", 120), (None, None, 30), ("yy", "odd", 1)):
+        for _ in range(n):
+            words = rng.randint(50, 400)
+            rows.append((lang, source, words, rng.randint(3, 9) * words + rng.randint(0, 50), rng.choice([0, 0, rng.randint(0, 60)]), rng.choice([0, rng.randint(0, 5)]), rng.randint(5, 20), rng.randint(0, words // 2), rng.random() < 0.1))
+    schema = "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long, base_failed boolean"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def exact(of, rule):
+        values = sorted(((r[names.index(rule.above)] << 20) // max(1, r[names.index(rule.below)])) for r in of)
+        top = lambda v: v if v < 256 else (((v >> (v.bit_length() - 8)) + 1) << (v.bit_length() - 8)) - 1
+        low, high = (top(values[max(0, -(-q * len(values) // 1000) - 1)]) for q in (rule.low, rule.high))
+        return np.array([low - rule.spreads * (high - low), high + rule.spreads * (high - low)])
+
+    want = {}
+    passed = [r for r in rows if not r[-1]]
+    for rule in quality.RULES:
+        overall = exact(passed, rule)
+        for lang in {r[0] for r in passed}:
+            of = [r for r in passed if r[0] == lang]
+            by_lang = (len(of) * exact(of, rule) + 100 * overall) / (len(of) + 100)
+            for source in {r[1] for r in of}:
+                own = [r for r in of if r[1] == source]
+                low, high = (len(own) * exact(own, rule) + 100 * by_lang) / (len(own) + 100) / (1 << 20)
+                want[lang, source, rule.ratio] = (low if rule.both_ways else None, max(high, quality.EPSILON))
+    measured = materialize(spark.createDataFrame(rows, schema).repartition(5), "m")
+    limits = quality.fences(measured)
+    got = {(r["lang"], r["source"], x): (r[f"{x}_low"], r[f"{x}_high"]) for r in limits.collect() for x in quality.RATIOS}
+    assert got.keys() == want.keys()
+    for k, (low, high) in want.items():
+        assert (got[k][0] is None) == (low is None) and got[k][1] == pytest.approx(high, rel=1e-12) and got[k][0] == (low and pytest.approx(low, rel=1e-12)), k
+
+    def kept(r):
+        value = lambda x: ((r[names.index(x.above)] << 20) // max(1, r[names.index(x.below)])) / (1 << 20)
+        bounds = [(value(x), *want[r[0], r[1], x.ratio]) for x in quality.RULES] if not r[-1] else []
+        return not r[-1] and all((low is None or v >= low) and v <= high for v, low, high in bounds)
+
+    judged = quality.judge(measured.withColumn("kept", F.lit("clash")).withColumn("word_length", F.lit("own")), limits).collect()
+    assert Counter((*(r[c] for c in names), r["kept"]) for r in judged) == Counter((*r, kept(r)) for r in rows)
+    assert {r["word_length"] for r in judged} == {"own"}
+
+
 def test_dimensions_of_any_range_order_rows(spark):
     for low, step in ((-500, 1), (1_700_000_000_000, 86_400_000), (-(1 << 62), 1 << 53)):
         df = spark.createDataFrame([(i, "word", low + step * (i * 7 % 1000)) for i in range(1000)], "doc_id long, text string, at long")
@@ -229,8 +274,35 @@ def test_mixing(spark, docs, nothing):
     got, again = (sorted(map(str, mixing.mix(docs).collect())) for _ in range(2))
     assert got == again
     assert mixing.mix(nothing).count() == 0
-    big = mixing.rates(df.limit(100), total=200_000).select(F.size("cdf"), F.col("cdf")[F.size("cdf") - 1]).first()
-    assert big[0] > 1000 and abs(big[1] - 1) < 1e-9
+    big = mixing.rates(df.filter("source = 'small'").limit(1), total=1_000_000).select(F.size("cdf"), F.col("cdf")[F.size("cdf") - 1], F.col("cdf")[1_000_000]).first()
+    assert big[0] > 1_000_000 and abs(big[1] - 1) < 1e-6 and abs(big[2] - 0.5) < 1e-3  # a rate of a million
+
+
+def test_mixing_without_broadcast(spark, docs, monkeypatch):
+    df = spark.createDataFrame([(i, "big" if i % 3 else None, "x") for i in range(3000)], "doc_id long, source string, copy string")
+    of = lambda: sorted(map(str, mixing.mix(df).collect()))
+    want = of()
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", 0)
+    assert of() == want and len(want) > 2500
+
+
+def test_poisson_counts_by_brute_force(spark):
+    """Each row's count, from the digest of its id and a plain sum of the distribution."""
+    import math
+
+    df = spark.createDataFrame([(i, f"s{min(i % 7, 2)}") for i in range(400)] + [(5, "s2"), (None, "s0")], "doc_id long, source string")
+    n = Counter(r["source"] for r in df.collect())
+    got = {(r["doc_id"], r["source"]): r["n_copies"] for r in mixing.mix(df).collect()}
+    for r in df.collect():
+        rate = 402 / 3 / n[r["source"]]
+        u = int(hashlib.md5(f"count{mixing.SEED}:{'' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        k, p = 0, math.exp(-rate)
+        total = p
+        while total <= u:
+            k += 1
+            p *= rate / k
+            total += p
+        assert got.get((r["doc_id"], r["source"]), 0) == k
 
 
 # --- 7 --------------------------------------------------------------------------------------------------------------
@@ -275,22 +347,84 @@ def test_sharding(spark, docs, nothing):
     assert sharding.kd_shards(nothing, [F.length("text")], shards=3).count() == 0
 
 
+def brute_tree(rows, first, leaves, span, out):
+    """rows: (values, tie, size, place). Cuts at the row where the sum reaches its aim, at its nearer end."""
+    if leaves == 1 or not rows:
+        out.update((r[3], first) for r in rows)
+        return
+    dims = range(len(rows[0][0]))
+    wide = [(max(r[0][d] for r in rows) - min(r[0][d] for r in rows)) / max(span[d], 1) for d in dims]
+    d = wide.index(max(wide))
+    rows = sorted(rows, key=lambda r: (r[0][d], r[1]))
+    aim = sum(r[2] for r in rows) * (leaves // 2) / leaves
+    k = total = 0
+    while k < len(rows) and (total + rows[k][2] <= aim or total + rows[k][2] - aim < aim - total):
+        total += rows[k][2]
+        k += 1
+    brute_tree(rows[:k], first, leaves // 2, span, out)
+    brute_tree(rows[k:], first + leaves // 2, leaves - leaves // 2, span, out)
+
+
+@pytest.mark.parametrize("kwargs", [{}, {"local": 40, "few": 10, "bins": 16}, {"local": 1, "few": 1, "bins": 4}])
+def test_sharding_by_brute_force(spark, kwargs):
+    """The same tree whether nodes are split by passes or finished by a task; distinct values, so that no tie decides."""
+    rng = random.Random(11)
+    a, b = rng.sample(range(-(10**6), 10**6), 600), rng.sample(range(10**12, 10**12 + 10**9), 600)
+    rows = [(i, "x" * rng.randint(0, 300), a[i], b[i] if i % 50 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, a long, b long").repartition(4)
+    # several nulls tie; give each of the others a value of its own
+    one = df.withColumn("b", F.when(F.col("b").isNull() & (F.col("doc_id") > 0), F.lit(10**13) + F.col("doc_id")).otherwise(F.col("b")))
+    low = min(r["b"] for r in one.collect() if r["b"] is not None) - 1
+    known = [((r["a"], low if r["b"] is None else r["b"]), 0, len(r["text"]) + 8, r["doc_id"]) for r in one.collect()]
+    want: dict = {}
+    brute_tree(known, 0, 13, [max(k[0][d] for k in known) - min(k[0][d] for k in known) for d in range(2)], want)
+    got = {r["doc_id"]: r["shard"] for r in sharding.kd_shards(one, [F.col("a"), F.col("b")], shards=13, **kwargs).collect()}
+    assert got == want
+
+
+def test_many_leaves_and_ties(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.pmod("id", F.lit(9)).cast("int")).alias("text"), F.lit("clash").alias("shard"))
+    # all values tie: the written number tells rows apart, in passes as in a task
+    for kwargs in ({}, {"local": 500, "few": 20, "bins": 8}):
+        sums = Counter()
+        for r in sharding.kd_shards(df, [F.lit(7), F.lit(None)], shards=16, **kwargs).collect():
+            sums[r["shard"]] += r["size"]
+        assert len(sums) == 16 and max(sums.values()) - min(sums.values()) <= 5 * 16
+    assert sharding.kd_shards(df, [F.length("text"), F.col("doc_id")], shards=10_000).agg(F.max("shard")).first()[0] > 9_000
+    ends = spark.createDataFrame([(i, "x", v) for i, v in enumerate([-(1 << 63), (1 << 63) - 1, None, 0])], "doc_id long, text string, at long")
+    got = {r["doc_id"]: r["shard"] for r in sharding.kd_shards(ends, [F.col("at")], shards=2).collect()}
+    assert got[0] == got[2] == 0 and got[1] == got[3] == 1
+
+
 # --- 2 --------------------------------------------------------------------------------------------------------------
 def test_reply_trees(spark):
     nodes = [("t", "r", None, "user", "q", 0.0), ("t", "a", "r", "assistant", "<|im_end|> &lt; a", 1.0), ("t", "b", "r", "assistant", "b", 5.0), ("t", "c", "a", "user", None, 9.0), ("t", "d", "c", "assistant", "d", None)]
     nodes += [("u", "x", "missing", None, "alone", 1.0), ("v", "p", "q", "user", "cycle", 1.0), ("v", "q", "p", "user", "cycle", 1.0)]
     nodes += [("w", f"{i:04d}", f"{i - 1:04d}" if i else None, "us\ner" if i % 2 else "assistant", str(i), 1.0) for i in range(300)]
-    df = spark.createDataFrame(nodes, "tree string, node string, parent string, role string, text string, score double")
+    nodes += [(None, "m", None, "user", "no tree", 1.0), (None, "n", "m", "assistant", "either", 1.0)]
+    nodes += [("x", "r", None, "user", "a", 1.0), ("x", "r", None, "user", "b", 1.0), ("x", "r", None, "user", "a", 1.0), ("x", "s", "r", "assistant", "c", 1.0)]  # repeated nodes
+    df = spark.createDataFrame([(*x, "clash") for x in nodes], "tree string, node string, parent string, role string, text string, score double, depth string")
     done = chat.format_paths(chat.paths(df, top=2))
     back = done.select("tree", "leaf", "branch", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("loss")).collect()
     got = {(r["tree"], r["branch"]): r for r in back}
-    assert set(got) == {("t", 1), ("t", 2), ("u", 1), ("w", 1)}
+    assert set(got) == {("t", 1), ("t", 2), ("u", 1), ("w", 1), (None, 1), ("x", 1)} and len(back) == 6
+    assert [x["text"] for x in got[None, 1]["t"]] == ["no tree", "either"] and [x["text"] for x in got["x", 1]["t"]] == ["a", "c"]
     assert [x["text"] for x in got["t", 1]["t"]] == ["q", "<|im_end|> &lt; a", "", "d"] and got["t", 1]["loss"] == "<|im_end|> &lt; ad"
     assert [x["text"] for x in got["t", 2]["t"]] == ["q", "b"] and got["u", 1]["t"][0]["role"] == ""
     assert [x["text"] for x in got["w", 1]["t"]] == [str(i) for i in range(300)] and got["w", 1]["t"][1]["role"] == "us\ner"
     assert chat.paths(df.limit(0)).count() == 0
 
 
+def test_long_conversations(spark):
+    """Two hundred thousand turns in one path; loss spans in code points and bytes."""
+    turns = spark.range(200_000).select(F.lit("t").alias("tree"), F.lit(1).alias("leaf"), F.lit(1).alias("branch"), F.col("id").alias("depth"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é<"), F.col("id").cast("string")).alias("text"))
+    row = chat.format_paths(turns).select("formatted", "loss", chat.read_loss(F.col("formatted"), F.col("loss")).alias("said"), F.size(chat.read_turns(F.col("formatted"))).alias("n")).first()
+    assert row["n"] == 200_000 and row["said"] == "".join(f"é<{i}" for i in range(1, 200_000, 2))
+    raw = row["formatted"].encode()
+    for s in (row["loss"][0], row["loss"][777], row["loss"][-1]):
+        assert row["formatted"][s["start"] : s["start"] + s["chars"]].encode() == raw[s["at"] : s["at"] + s["bytes"]]
+
+
 def test_chat_query(table, spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a<|im_end|>"), (2, 0, None, None), (2, 0, None, None), (3, 0, "assistant", None)]
     out = {r["conv_id"]: r for r in chat.op2_chat(spark, table("conversations", rows, "conv_id long, turn long, role string, text string")).collect()}
@@ -322,6 +456,71 @@ def test_urls(spark):
     assert urlfilter.judge_urls(df, rules=()).filter("verdict <> 'allow'").count() == 0
 
 
+def brute_rule(host, path, rules):
+    fit = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return min(fit, key=lambda r: (-len(r.host + r.path), r.verdict != "allow", r.host + r.path), default=None)
+
+
+def split_url(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match("[^/?#]*", rest)[0]
+    return re.sub("[A-Z]", lambda m: m[0].lower(), host), re.match("[^?#]*", rest[len(host) :])[0]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_urls_by_brute_force(spark, monkeypatch, seed):
+    """Random rules over random graphs of links and redirects; rules as a literal and as a joined table."""
+    rng = random.Random(seed)
+    host = lambda: ".".join(rng.choices(["a", "b", "www", "Net"], k=rng.randint(1, 3)))
+    path = lambda: "".join(rng.choices(["/", "/x", "/y/", "z"], k=rng.randint(0, 3)))
+    rules = [urlfilter.Rule(rng.choice(["allow", "block", "block"]), host().lower(), "/" + path().lstrip("/")) for _ in range(10)] + [urlfilter.Rule("block", "a", "/x"), urlfilter.Rule("allow", "a", "/x")]
+    urls = [f"http://{host()}{path()}{rng.choice(['', '?q', '#f', '/'])}" for _ in range(120)] + [None, "no url", "http://", "http://b", "http://b"]
+    vertex = lambda u: u.split("#")[0]
+    links, pages = [], []
+    for i, u in enumerate(urls):
+        html = None
+        if u and "://" in u and rng.random() < 0.15:
+            to = rng.choice([v for v in urls[:120] if v])
+            links.append((vertex(u), vertex(to)))
+            html = f"<p title='<link rel=canonical href=http://a/x/no>'><link data-href='http://a/x' rel='nofollow Canonical' href=\"{to}\">" + "<!-- <link rel=canonical href='http://a/x/no'> -->"
+        pages.append((i, u, html, "clash"))
+    jumps = [(rng.choice(urls[:120]), f"http://{host()}{path()}") for _ in range(5)]
+    links += [(vertex(a), vertex(b)) for a, b in jumps]
+    names = sorted({x for e in links for x in e})
+    near = {frozenset(e) for e in links}
+    group = dict(zip(names, components(len(names), lambda a, b: frozenset((names[a], names[b])) in near)))
+    verdicts = defaultdict(set)
+    for x, g in group.items():
+        r = brute_rule(*split_url(x), rules)
+        verdicts[g].add(r and r.verdict)
+    want = {}
+    for i, u, *_ in pages:
+        h, p = split_url(u)
+        r = brute_rule(h, p, rules)
+        of = verdicts[group[vertex(u)]] if u and vertex(u) in group else set()
+        want[i] = (h, p, r and r.host + r.path, r.verdict if r else "block" if "block" in of and "allow" not in of else "allow")
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, host string")
+    redirects = spark.createDataFrame(jumps, "src string, dst string")
+    of = lambda rules: {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge_urls(df, rules, redirects).collect()}
+    assert of(rules) == want
+    assert {w[3] for i, w in want.items() if w[2] is None} == {"allow", "block"}  # aliases decide some
+    monkeypatch.setattr(urlfilter, "LITERAL", 0)
+    assert of(rules) == want
+
+
+def test_a_million_rules(spark):
+    rules = spark.range(1_000_000).select(F.lit("block").alias("verdict"), F.concat(F.lit("h"), F.pmod("id", F.lit(1000)).cast("string"), F.lit(".org")).alias("host"), F.concat(F.lit("/p"), F.col("id").cast("string"), F.lit("/")).alias("path"))
+    pages = spark.createDataFrame([(1, "http://www.h7.org/p5007/x"), (2, "http://h7.org/p5008/x"), (3, "http://H8.org/p5008/")], "page_id long, url string")
+    got = {r["page_id"]: r["rule"] for r in urlfilter.judge_urls(pages, rules, html_col=None).collect()}
+    assert got == {1: "h7.org/p5007/", 2: None, 3: "h8.org/p5008/"}
+
+
+def test_links_of_pages(spark):
+    rows = [("http://e.org/x/y?q", x) for x in ("<link rel=canonical href=../z>", "<link rel=canonical href='?k=1&amp;l'>", "<link rel='a canonical b'href=//f.org/a>", "<script><link rel=canonical href='/no'></script>", "<linkx rel=canonical href='/no'>", "<meta http-equiv=Refresh content='1;url=w'/>", "<link rel=canonical href=''>", "<link rel=canonical title='x>y' href='/t'>", "<link rel=canonical href='http://[/'>")]
+    got = [r["dst"] for r in urlfilter.link_edges(spark.createDataFrame(rows, "url string, html string").coalesce(1)).collect()]
+    assert got == ["http://e.org/z", "http://e.org/x/y?k=1&l", "http://f.org/a", "http://e.org/x/w", "http://e.org/t", None]
+
+
 # --- 9 --------------------------------------------------------------------------------------------------------------
 def test_warc(spark, table):
     import base64
