@@ -75,19 +75,19 @@ def jaro(a, b) -> float:
     if not n or not m:
         return 0.0
     reach = max(n, m) // 2 - 1
-    free = [True] * m
+    free, letters = list(b), set(b)
     taken = []
-    for i in range(n):
-        c = a[i]
-        for j in range(max(0, i - reach), min(i + reach + 1, m)):
-            if free[j] and b[j] == c:
-                free[j] = False
-                taken.append(c)
-                break
+    for i, c in enumerate(a):
+        if c in letters:
+            try:  # list.index looks through the window in C
+                free[free.index(c, max(0, i - reach), max(0, i + reach + 1))] = None
+            except ValueError:
+                continue
+            taken.append(c)
     k = len(taken)
     if not k:
         return 0.0
-    others = [c for c, f in zip(b, free) if not f]
+    others = [c for c, f in zip(b, free) if f is None]
     odd = sum(x != y for x, y in zip(taken, others)) / 2
     return (k / n + k / m + (k - odd) / k) / 3
 
