@@ -30,12 +30,17 @@ def excluded_as_stores(records: DataFrame) -> DataFrame:
 EXPORTED = ("cluster", "store_id", "name", "normalized_name", "phone", "normalized_phone", "address", "normalized_address", "duplicate_score", "chain_flag", "mall_flag", "exclude_reason", "raw")
 
 
+def excluded_rows(result) -> DataFrame:
+    """Chain (_part 1), then mall exclusions (2); a record may be both, and comes twice then. Needs no pairs."""
+    chains, malls = (excluded_as_stores(x).select(*EXPORTED).withColumn("_part", F.lit(i)) for i, x in enumerate((result.chain_excluded, result.mall_excluded), 1))
+    return chains.unionByName(malls)
+
+
 def export_rows(result, include_excluded: bool = False) -> DataFrame:
     """Stores (and, if wanted, chain then mall exclusions) with _part and cluster to order them; phones first."""
     stores = result.stores.select(*EXPORTED).withColumn("_part", F.lit(0))
     if include_excluded:
-        for i, extra in enumerate((result.chain_excluded, result.mall_excluded), 1):
-            stores = stores.unionByName(excluded_as_stores(extra).select(*EXPORTED).withColumn("_part", F.lit(i)))
+        stores = stores.unionByName(excluded_rows(result))
     else:
         stores = stores.filter("not chain_flag and not mall_flag")
     return with_phone_flag(stores)

@@ -15,7 +15,7 @@ from mizuhiki.operators.normalize import normalize_records
 from mizuhiki.operators.pairs import all_pairs, block_sizes, blocked_pairs, candidate_pairs
 from mizuhiki.operators.scoring import score_pairs
 from mizuhiki.plans.resolve import process_uploads, run_pipeline, trace
-from mizuhiki.sources.export import csv_text, export_file_name, export_table, json_text, report_sheets, write_xlsx
+from mizuhiki.sources.export import excluded_rows, csv_text, export_file_name, export_table, json_text, report_sheets, write_xlsx
 from mizuhiki.sources.mapping import detect_source, map_columns
 from mizuhiki.sources.readers import load_chain_names, load_records
 
@@ -169,6 +169,15 @@ def test_malls_by_source_and_in_full(spark):
     assert {x["code"] for r in full.mall_excluded.collect() for x in r["logs"]} >= {"excluded_commercial_facility"}
 
 
+def test_exclusions_need_no_pairs(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("pairs were made")
+
+    monkeypatch.setattr("mizuhiki.plans.resolve.candidate_pairs", refuse)
+    out = run_pipeline(spark.createDataFrame(MERGE, RECORD), config.Options(chain_names=("鳥貴族",)))
+    assert [(r["_part"], r["cluster"], r["exclude_reason"]) for r in excluded_rows(out).collect()] == [(1, 2, ["chain_store"])]
+
+
 def scored(spark, left, right):
     df = normalize_records(spark.createDataFrame([(0, *left), (1, *right)], RECORD))
     got = score_pairs(all_pairs(df)).collect()
