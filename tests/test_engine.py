@@ -12,6 +12,7 @@ from mizuhiki.functions import text as t
 from mizuhiki.operators.classify import classify, heavy_brands, master_brands
 from mizuhiki.operators.components import connected_components
 from mizuhiki.operators.normalize import normalize_records
+from mizuhiki.operators.matches import find_matches
 from mizuhiki.operators.pairs import all_pairs, block_sizes, blocked_pairs, candidate_pairs
 from mizuhiki.operators.scoring import score_pairs
 from mizuhiki.plans.resolve import process_uploads, run_pipeline, trace
@@ -173,7 +174,7 @@ def test_exclusions_need_no_pairs(spark, monkeypatch):
     def refuse(*_):
         raise AssertionError("pairs were made")
 
-    monkeypatch.setattr("mizuhiki.plans.resolve.candidate_pairs", refuse)
+    monkeypatch.setattr("mizuhiki.plans.resolve.find_matches", refuse)
     out = run_pipeline(spark.createDataFrame(MERGE, RECORD), config.Options(chain_names=("鳥貴族",)))
     assert [(r["_part"], r["cluster"], r["exclude_reason"]) for r in excluded_rows(out).collect()] == [(1, 2, ["chain_store"])]
 
@@ -198,6 +199,20 @@ def test_cascade(spark):
     assert scored(spark, put(name="", address=None), put(name="", address=None))[0] == 90  # empty equals empty
 
 
+def test_matches_by_groups(spark, monkeypatch):
+    """Against all pairs of all blocks: equal URLs with and without phones, addresses without numbers, neighbours."""
+    rows = [(i, f"さくら食堂{i % 7}", f"03-0000-{i % 11:04d}" if i % 3 else None, f"新宿区西新宿{i % 5}-1-{i % 2}" if i % 4 else "新宿区西新宿", 35.0 + (i % 3) * 0.0001 + i % 2 * 360, 139.0 if i % 5 else None, f"http://x.jp/{i % 13}" if i % 6 else None, "a") for i in range(60)]
+    df = normalize_records(spark.createDataFrame(rows, RECORD)).cache()
+    want = sorted(map(repr, score_pairs(blocked_pairs(df)).collect()))
+    found = find_matches(df, "blocked")
+    assert sorted(map(repr, found.edges().collect())) == want and len(want) == found.count().first()[0] > found.named.count()
+    sets = lambda links: sorted(map(tuple, connected_components(links, "left_idx", "right_idx").collect()))
+    assert sets(found.links()) == sets(found.edges())
+    monkeypatch.setattr("mizuhiki.operators.matches.blocked_pairs", None)  # summaries and exports make no pairs of URLs
+    out = run_pipeline(spark.createDataFrame(rows, RECORD), config.Options(pairing="blocked"))
+    assert out.summary.first()["merged_count"] == len(want)
+
+
 def test_blocks(spark):
     rows = [(i, f"さくら食堂{i % 7}", f"03-0000-{i % 11:04d}", f"新宿区西新宿{i % 5}-1-1", 35.0 + (i % 3) * 0.0001, 139.0, f"http://x.jp/{i % 13}", "a") for i in range(40)]
     df = normalize_records(spark.createDataFrame(rows, RECORD)).cache()
