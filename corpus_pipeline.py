@@ -42,6 +42,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of texts with a similarity of 0.8 or more on five-word shingles.
 
+    Candidates are SimHash classes, and bands of min-hashes beside them; all are verified with the whole shingle sets.
+
     All texts without a word, null ones among them, are one group. Of a group the row of the least doc_id stays (nulls
     first, ties by a digest of the text); of rows with both in common one. Very long texts are compared whole. Columns of
     any name pass; an empty table stays empty.

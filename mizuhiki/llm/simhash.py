@@ -141,11 +141,16 @@ def hamming_links(fps: DataFrame, distance: int = DISTANCE, dense: int = 2048) -
     return _linked(plain, distance).unionByName(_linked(exact.unionByName(near), distance)).distinct()
 
 
+def _classes(fps: DataFrame, distance: int, dense: int = 2048) -> DataFrame:
+    """(fp, part) of fingerprints that links of at most `distance` bits join to others."""
+    return connected_components(hamming_links(fps, distance, dense), "a", "b").withColumnsRenamed({"id": "fp", "component": "part"})
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = DISTANCE, dense: int = 2048) -> DataFrame:
     """(id_col, fp, component_id): component_id is the least id reachable over links of at most `distance` bits."""
     marked = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
     held = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "distinct")
-    parts = connected_components(hamming_links(held, distance, dense), "a", "b").withColumnsRenamed({"id": "fp", "component": "part"})
+    parts = _classes(held, distance, dense)
     joined = held.join(parts, "fp", "left")
     lows = joined.filter("part is not null").groupBy("part").agg(F.min("least").alias("low"))
     classes = materialize(joined.join(lows, "part", "left").select("fp", F.coalesce("low", "least").alias("component_id"), "n"), "classes")
@@ -237,18 +242,23 @@ def _across(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return groups.filter("size(members) > 1").select("members").mapInArrow(run, "center binary, digest binary").distinct()
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, bands: int = BANDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(id, digest) of each row; (digest, component, n) of each distinct text, n of its rows; (component, first, n) of each group.
 
-    Candidates come from bands of min-hashes and are verified with the whole sets. In each band, all texts are held
+    Candidates come from SimHash, as texts of one class of fingerprints (of the same shingles, repeats included), and from
+    bands of min-hashes beside it; a class is filed as a band of its own. They are verified with the whole sets. In each band, all texts are held
     against the least one, so a large group of copies makes as many edges as rows; those that these links leave apart are held against all others of the band, in blocks
     that bound what a task holds, and a spanning forest of their links is kept. No cap cuts off a link.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_bands(h) if len(h) else [] for h in sets], pa.list_(pa.int64()))], names=["id", "digest", "bands"])
+            fps, keys = [], []
+            for t in b.column(2):
+                hashes = shingle_hashes(t.as_py(), words)
+                fps.append(fingerprint(hashes) if len(hashes) else None)  # texts without a word are one already
+                keys.append(_bands(np.unique(hashes))[:bands] if bands and len(hashes) else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "fp", "bands"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, 1):
@@ -266,11 +276,16 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, similarity:
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), _digest(F.col(text_col)).alias("digest"), F.col(text_col).cast("binary").alias("text"))
-    signed = materialize(rows.mapInArrow(sign, f"id {kind}, digest binary, bands array<long>"), "signed")
+    signed = materialize(rows.mapInArrow(sign, f"id {kind}, digest binary, fp long, bands array<long>"), "signed")
+    hashed = materialize(signed.filter("fp is not null").select("digest", "fp").distinct(), "hashed")
+    classes = materialize(hashed.groupBy("fp").agg(F.count("*").alias("n")), "fingerprints")
+    # of a class of one fingerprint, that is the name; else its least
+    named = materialize(classes.join(_classes(classes, DISTANCE), "fp", "left").select("fp", F.coalesce("part", "fp").alias("key"), "n"), "classes")
+    filed = look_up(hashed, named, ["fp"]).select("digest", F.lit(BANDS).alias("band"), "key")
     # digests are in no order that has to do with texts: the least of a band is its center
-    left = signed.select("digest", F.posexplode("bands").alias("band", "key")).distinct()
-    sizes = left.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    left = materialize(left.join(sizes, ["band", "key"]), "bands")
+    filed_all = materialize(signed.select("digest", F.posexplode("bands").alias("band", "key")).distinct().unionByName(filed), "filed")
+    sizes = filed_all.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    left = materialize(filed_all.join(sizes, ["band", "key"]), "bands")
     # one row for each text that has a candidate; by id and text, as either may be that of a third of all rows
     least = F.min(F.struct("id"))["id"]  # nulls first
     texts = materialize(signed.groupBy("digest").agg(least.alias("id"), F.count("*").alias("n")), "texts")
@@ -289,7 +304,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, similarity:
     labelled = materialize(left.join(labels, "digest", "left").select("band", "key", "digest", F.coalesce("component", "digest").alias("label")), "labelled")
     links = links.unionByName(materialize(_across(labelled, sets, similarity), "links"))
     parts = connected_components(links, "center", "digest").withColumnRenamed("id", "digest")
-    for x in (left, sets, labelled):
+    for x in (filed_all, left, sets, labelled, hashed, classes, named):
         discard(x)
     grouped = materialize(texts.join(parts, "digest", "left").select("digest", "id", F.coalesce("component", "digest").alias("component"), "n"), "groups")
     stays = materialize(grouped.groupBy("component").agg(F.min(F.struct("id", "digest")).alias("first"), F.sum("n").alias("n")), "stays")
@@ -297,14 +312,15 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, words: int, similarity:
     return signed.select("id", "digest"), grouped.select("digest", "component", "n"), stays
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, bands: int = BANDS) -> DataFrame:
     """(id, digest, copies, component, keeper): for each distinct id and text, its group and whether it's the one that stays.
 
     Texts link if the Jaccard similarity of their shingle sets is at least `similarity`; components of links are the
-    groups. Equal texts are one, and so are all without a word. A 64-bit SimHash can't find these links (the README has
-    figures), so candidates come from bands of min-hashes of the same shingles and are verified with the whole sets.
+    groups. Equal texts are one, and so are all without a word. Candidates come from classes of SimHash fingerprints; as 64
+    bits find few of these links (the README has figures), also from up to 24 bands of min-hashes of the same shingles; 0 leaves
+    SimHash alone. All are verified with the whole sets.
     """
-    signed, grouped, stays = _groups(docs, id_col, text_col, words, similarity)
+    signed, grouped, stays = _groups(docs, id_col, text_col, words, similarity, bands)
     ids = materialize(signed.groupBy("id", "digest").agg(F.count("*").alias("copies")), "ids")
     joined = materialize(look_up(ids, grouped, ["digest"]), "ids")
     joined = look_up(joined, stays, ["component"])

@@ -109,6 +109,18 @@ def test_hamming_links(spark, dense):
     assert components(len(fps), lambda a, b: frozenset((a, b)) in pairs) == components(len(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
 
 
+def test_simhash_finds_near_duplicates_by_itself(spark):
+    """With no band of min-hashes: texts of one class of fingerprints are linked if they are alike, and others are not."""
+    rng = np.random.default_rng(3)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 4000)]
+    other = [f"v{x}" for x in rng.integers(0, 10**6, 4000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-8])), (3, " ".join(other)), (4, " ".join(words[:2000] + other[:2000])), (5, None)]
+    prints = [simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5)) for _, t in rows[:2]]
+    assert (prints[0] ^ prints[1]) % (1 << 64) and ((prints[0] ^ prints[1]) % (1 << 64)).bit_count() <= simhash.DISTANCE
+    got = simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), bands=0).collect()
+    assert sorted(r["id"] for r in got if r["keeper"]) == [1, 3, 4, 5]
+
+
 def test_near_duplicate_groups(docs, nothing):
     rows = corpus()
     sets = []
