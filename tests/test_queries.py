@@ -89,6 +89,26 @@ def test_large_blocks_are_parted(spark, monkeypatch):
         assert sorted(map(tuple, blocked_pairs(df).select("left_idx", "right_idx").collect())) == want
 
 
+def test_pairs_are_unpacked_from_chunks(spark, monkeypatch):
+    """Chunks and slices of any size make the pairs of all kinds of block, each once; no task's join makes pairs."""
+    from mizuhiki.operators import pairs
+
+    columns = "record_index long, normalized_name string, normalized_phone string, normalized_address string, normalized_url string, lat double, lng double"
+    rows = [(i * 7 % 150, f"{i % 11:04d} shop", str(i % 70 or ""), f"town {'x' * (i % 3)}-1", f"u{i % 4}" if i % 5 else "", 35.0 + i % 60 if i % 2 else None, 139.0) for i in range(150)]
+    df = spark.createDataFrame(rows, columns)
+    keys = {r[0]: (r[2] or None, r[1][:4], r[3][:10] if len(r[3]) >= 6 else None, r[4] or None, None if r[5] is None else (r[5], r[6])) for r in rows}
+    want = [(i, j) for i in range(150) for j in range(i + 1, 150) if any(a is not None and a == b for a, b in zip(keys[i], keys[j]))]
+    for chunk, size, share in ((2048, 256, 1000), (7, 2, 1000), (1, 1, 1000), (10, 256, 1)):
+        for name, value in (("_CHUNK", chunk), ("_SLICE", size), ("SHARE", share)):
+            monkeypatch.setattr(pairs, name, value)
+        assert sorted(map(tuple, pairs.block_pairs(df).collect())) == want
+        whole = pairs.blocked_pairs(df).select("left_idx", "right_idx", "l.normalized_name", "r.normalized_url").collect()
+        assert sorted(map(tuple, whole)) == [(i, j, *(next(r[k] for r in rows if r[0] == n) for n, k in ((i, 1), (j, 4)))) for i, j in want]
+    assert pairs.block_pairs(df.limit(0)).count() == pairs.block_pairs(df.limit(1)).count() == 0
+    plan = pairs.block_pairs(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(y") < plan.index("Join")  # joined are chunks
+
+
 def test_frequent_keys_stay_in_place(spark, monkeypatch):
     from mizuhiki.operators.skew import look_up, salted_join
 
