@@ -1,8 +1,11 @@
 """Goldens of the scalar functions and of whole runs."""
 
 import json
+import math
 from datetime import datetime
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,6 +216,56 @@ def test_matches_by_groups(spark, monkeypatch):
     assert out.summary.first()["merged_count"] == len(want)
 
 
+def test_edges_of_urls_in_grids(spark, monkeypatch):
+    """brief_edges() against edges(), with parts, batches and masks of any size: phones, nulls, long and wide names among them."""
+    from mizuhiki.functions import grid
+    from mizuhiki.operators import matches
+
+    names = ["さくら食堂", "さくら食堂2", "abc " * 18, "abc " * 17 + "x", "", "a", "b", "鳥😀", "cab bac", "ab"]
+    columns = "record_index long, normalized_name string, normalized_phone string, normalized_address string, normalized_url string, lat double, lng double"
+    rows = [(i, None if i == 77 else names[i % 10] + str(i % 4 or ""), str(i % 9 or ""), f"town {i % 8}-{i % 3}", f"u{i % 13 % 4}" if i % 6 else f"v{i}", None if i % 7 == 0 else 35.0 + i % 5 * 0.003, 139.0 + i % 3 / 7) for i in range(160)]
+    found = find_matches(spark.createDataFrame(rows, columns).cache(), "blocked")
+    want = sorted(map(repr, found.edges().drop("address_similarity", "matched_on").collect()))
+    assert len(want) > found.named.count() > 0
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for part in (1024, 5):
+            monkeypatch.setattr(matches, "_GRID", part)
+            assert sorted(map(repr, found.brief_edges().collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # workers don't see what is set here, so sizes are varied without them
+    rows.sort(key=lambda r: (r[0] % 3, r[0] % 2))
+    columns = {"g": [r[0] % 3 for r in rows], "a": [0] * 160, "b": [int(r[0] % 3 > 0) for r in rows], "side": [r[0] % 2 for r in rows], "id": [r[0] for r in rows], "name": [r[1] for r in rows], "phone": [r[2] for r in rows], "lat": [r[5] for r in rows], "lng": [r[6] for r in rows]}
+    meets = lambda l, r: l[0] % 3 == r[0] % 3 and (l[0] % 3 == 0 or l[0] % 2 < r[0] % 2) and (not l[2] or l[2] != r[2])  # noqa: E731, E741
+    for small, batch in ((64, 1 << 16), (0, 1 << 16), (0, 10), (64, 1)):
+        monkeypatch.setattr(grid, "_SMALL", small)
+        monkeypatch.setattr(grid, "_BATCH", batch)
+        got = [x for made in grid.pairs_of_groups(iter(pa.table(columns).to_batches(max_chunksize=9))) for x in made.to_pylist()]
+        assert sorted((x["x"], x["y"]) for x in got) == sorted((l[0], r[0]) for i, l in enumerate(rows) for j, r in enumerate(rows) if meets(l, r) and (i < j or l[0] % 3))
+        said = {r[0]: r[1] for r in rows}
+        similarity = lambda x, y: None if None in (x, y) else float(k.fixed(k.jaro_winkler(x, y), 4))
+        assert all(x["name_similarity"] == similarity(said[x["x"]], said[x["y"]]) for x in got)
+
+
+def test_names_by_masks():
+    import random
+
+    from mizuhiki.functions.grid import Names, rounded
+
+    draw = random.Random(5)
+    names = [None, "", "a", "a", "鳥😀", "x" * 64, "x" * 65, "y" * 63 + "x", *("".join(draw.choices(letters, k=draw.randint(0, most))) for most, letters in ((3, "ab"), (12, "ab"), (70, "abc日本"), (30, "abcdefgh 012#")) for _ in range(60))]
+    against = Names(names)
+    for start in (0, 6, 100):
+        for x in names:
+            want = [None if x is None or y is None else k.jaro_winkler(x, y) for y in names[start:]]
+            assert [None if math.isnan(s) else s for s in against.similarities(x, start).tolist()] == want
+    values = np.array([0.0, 0.125, 1.005, 2.675, 0.00005, 1.00005, 8.5e9, 19999999.995, *(draw.random() for _ in range(3000)), *(round(draw.random(), 5) for _ in range(3000))])
+    for digits in (2, 4):
+        assert rounded(values, digits).tolist() == [float(k.fixed(v, digits)) for v in values.tolist()]
+    assert np.isnan(rounded(np.array([np.nan, np.inf]), 2)).all()
+
+
 def test_blocks(spark):
     rows = [(i, f"さくら食堂{i % 7}", f"03-0000-{i % 11:04d}", f"新宿区西新宿{i % 5}-1-1", 35.0 + (i % 3) * 0.0001, 139.0, f"http://x.jp/{i % 13}", "a") for i in range(40)]
     df = normalize_records(spark.createDataFrame(rows, RECORD)).cache()
