@@ -248,6 +248,32 @@ def test_edges_of_urls_in_grids(spark, monkeypatch):
         assert all(x["name_similarity"] == similarity(said[x["x"]], said[x["y"]]) for x in got)
 
 
+def test_small_groups_are_compared_at_once(monkeypatch):
+    """No pair of plain names is compared alone, also in groups of some dozen rows; names of several sizes meet, each once."""
+    import random
+
+    from mizuhiki.functions import grid
+
+    draw = random.Random(9)
+    said = ["".join(draw.choices("abc 01#日", k=draw.randint(0, 63))) for _ in range(20)] + ["".join(draw.choices("ab1", k=draw.randint(0, 9))) for _ in range(40)]
+    sides = [0] * 25 + [1] * 35
+
+    def alone(a, b):
+        raise AssertionError("a pair was compared alone")
+
+    for chosen in (range(60), range(20, 60)):  # masks of 64 and of 32 bits
+        for b in (0, 1):
+            rows = list(chosen)
+            table = pa.table({"g": [4] * len(rows), "a": [0] * len(rows), "b": [b] * len(rows), "side": [b and sides[i] for i in rows], "id": rows, "name": [said[i] for i in rows], "phone": ["7" if i % 10 == 0 else "" for i in rows], "lat": [35.0] * len(rows), "lng": [139.0] * len(rows)})
+            for tile in (1 << 15, 100):
+                with monkeypatch.context() as m:
+                    m.setattr(grid, "_similarity", alone)
+                    m.setattr(grid, "_TILE", tile, raising=False)
+                    got = sorted((x["x"], x["y"], x["name_similarity"]) for made in grid.pairs_of_groups(iter(table.to_batches())) for x in made.to_pylist())
+                meet = lambda i, j: (sides[i] < sides[j] if b else i < j) and (i % 10 or j % 10)
+                assert got == [(i, j, float(k.fixed(k.jaro_winkler(said[i], said[j]), 4))) for i in rows for j in rows if meet(i, j)]
+
+
 def test_names_by_masks():
     import random
 
@@ -266,6 +292,24 @@ def test_names_by_masks():
     assert np.isnan(rounded(np.array([np.nan, np.inf]), 2)).all()
 
 
+def test_cells_have_all_neighbours(spark):
+    """Points within reach, also of poles and beyond 180 degrees: the cell of one is among the near cells of the other."""
+    import random
+
+    from mizuhiki.functions.text import haversine_meters
+    from mizuhiki.operators.matches import _with_cells
+
+    draw = random.Random(3)
+    at = [(draw.choice((35.0, 89.9999, -90.0, 400.0)) + draw.uniform(-0.001, 0.001), draw.choice((139.0, 180.0, -180.0, 900.0)) + draw.uniform(-0.001, 0.001)) for _ in range(300)] + [(None, 1.0), (math.nan, 1.0), (35.0, None)]
+    placed = _with_cells(spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "i int, lat double, lng double"), 50.0).cache()
+    assert placed.columns == ["i", "lat", "lng", "cell", "near"]
+    l, r = placed.alias("l"), placed.alias("r")
+    close = l.join(r, haversine_meters(F.col("l.lat"), F.col("l.lng"), F.col("r.lat"), F.col("r.lng")) <= 50).filter("l.i < 300 and r.i < 300")
+    assert close.count() > 600
+    assert close.filter(~F.array_contains("r.near", F.col("l.cell"))).count() == 0
+    assert placed.filter("i < 300").agg(F.max(F.size("near"))).first()[0] <= 8
+
+
 def test_blocks(spark):
     rows = [(i, f"さくら食堂{i % 7}", f"03-0000-{i % 11:04d}", f"新宿区西新宿{i % 5}-1-1", 35.0 + (i % 3) * 0.0001, 139.0, f"http://x.jp/{i % 13}", "a") for i in range(40)]
     df = normalize_records(spark.createDataFrame(rows, RECORD)).cache()
