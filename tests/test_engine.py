@@ -16,6 +16,7 @@ from mizuhiki.operators.classify import classify, heavy_brands, master_brands
 from mizuhiki.operators.components import connected_components
 from mizuhiki.operators.normalize import normalize_records
 from mizuhiki.operators.matches import find_matches
+from mizuhiki.operators.merge import joined_codes
 from mizuhiki.operators.pairs import all_pairs, block_sizes, blocked_pairs, candidate_pairs
 from mizuhiki.operators.scoring import score_pairs
 from mizuhiki.plans.resolve import process_uploads, run_pipeline, trace
@@ -216,6 +217,30 @@ def test_matches_by_groups(spark, monkeypatch):
     assert out.summary.first()["merged_count"] == len(want)
 
 
+@pytest.mark.parametrize("pairing", ["blocked", "all"])
+def test_codes_are_counted(spark, monkeypatch, pairing):
+    """Codes of brief stores and of their records are those of all logs, and are found without a pair of URLs."""
+    rows = [(i, f"さくら食堂{i % 7}" if i % 10 else "鳥貴族 新宿店", f"03-0000-{i % 11:04d}" if i % 3 else None, f"新宿区西新宿{i % 5}-1-{i % 2}" if i % 4 else None, 35.0 + i % 9, 139.0, f"http://x.jp/{i % 13 % 5 * 7 % 6}" if i % 6 else None, "a") for i in range(90)]
+    rows += [(100 + i, f"{'ABC'[i]}屋", None, None, None, None, f"http://y.jp/{i}", "b") for i in range(3)]  # alone
+    rows += [(110 + i, "一二三四", "03-9999-0000", None, None, None, "http://z.jp", "b") for i in range(3)]  # a URL with one phone
+    out = run_pipeline(spark.createDataFrame(rows, RECORD), config.Options(pairing=pairing, chain_names=("鳥貴族",), run_ts="2026-01-01 00:00:00"))
+    names = lambda entries: ",".join(x["code"] for x in entries)
+    want = {r["cluster"]: r for r in out.stores.collect()}
+    assert {names(r["logs"]).count("duplicate_match") for r in want.values()} >= {0, 6} and len(want) > 4
+    for made in ("blocked_pairs", "edges_by_url"):
+        monkeypatch.setattr(f"mizuhiki.operators.matches.{made}", None)
+    for share in (1000, 3):
+        monkeypatch.setattr("mizuhiki.operators.skew.SHARE", share)
+        got = out.brief_stores.withColumn("text", joined_codes(F.col("codes"))).collect()
+        assert sorted(r["cluster"] for r in got) == sorted(want)
+        for r in got:
+            same = want[r["cluster"]]
+            assert r["text"] == names(same["logs"])
+            assert [",".join(x["code"] for x in y["codes"] for _ in range(x["times"])) for y in r["raw_records"]] == [names(y["logs"]) for y in same["raw_records"]]
+            assert all(r[c] == same[c] for c in out.stores.columns if c not in ("logs", "raw_records"))
+        del out.__dict__["brief_stores"]
+
+
 def test_edges_of_urls_in_grids(spark, monkeypatch):
     """brief_edges() against edges(), with parts, batches and masks of any size: phones, nulls, long and wide names among them."""
     from mizuhiki.functions import grid

@@ -1,5 +1,6 @@
 """Every engine query with SQL against that SQL, on the smallest test tables; the driver's entry; streams."""
 
+import dataclasses
 from pathlib import Path
 
 import duckdb
@@ -79,6 +80,17 @@ def test_whole_run_links_listings_without_phone(spark):
     assert sum(r["n_records"] for r in got) + summary["chain_excluded_count"] == engine.listings(spark, str(SF)).count()  # no listing is lost
 
 
+@pytest.mark.skipif(not SF.exists(), reason="no test tables here")
+def test_merged_fields_make_no_pairs_of_urls(spark, monkeypatch):
+    monkeypatch.setattr(engine, "OPTIONS", dataclasses.replace(engine.OPTIONS, pairing="blocked"))  # as beyond 500 listings
+    stores = engine.run_pipeline(engine.listings(spark, str(SF)).drop("k"), engine.OPTIONS).stores
+    want = {r["cluster"]: ",".join(x["code"] for x in r["logs"]) for r in stores.select("cluster", "logs").collect()}
+    for made in ("blocked_pairs", "edges_by_url"):
+        monkeypatch.setattr(f"mizuhiki.operators.matches.{made}", None)
+    got = {r["cluster"]: r["codes"] for r in engine.QUERIES["merged_fields"](spark, str(SF)).collect()}
+    assert got == want and any("duplicate_match,duplicate_match" in x for x in got.values())
+
+
 def test_large_blocks_are_parted(spark, monkeypatch):
     """Sub-blocks make the same pairs, each once."""
     rows = [(i, "same name" if i % 2 else f"{i:04d}", f"p{i % 7}", "", "", None, None) for i in range(120)]
